@@ -5,16 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import line_dedup, simhash
 from .textcore import load
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without recurring lines, and how many lines each lost."""
+    out = line_dedup.drop_recurring_lines(load(spark, sf_dir, "documents"), count_col="lines_dropped")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
