@@ -65,7 +65,7 @@ def windows(buf: np.ndarray, off: np.ndarray, width: int = WINDOW) -> tuple[np.n
 def symbols(buf: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WINDOW) -> np.ndarray:
     """(step, window) of symbols, padded."""
     at = start[None, :] + np.arange(width)[:, None]
-    return np.where(at < end[None, :], T.LOWER[buf[np.minimum(at, max(len(buf) - 1, 0))]], PAD).astype(np.int32)
+    return np.where(at < end[None, :], T.LOWER[buf[np.minimum(at, max(len(buf) - 1, 0))]].astype(np.int32), PAD)
 
 
 def states(net: Network, sym: np.ndarray, keep: bool = False) -> tuple[np.ndarray, ...]:
