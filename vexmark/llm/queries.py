@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, pii, quality, secrets, simhash
+from . import decontam, langid, line_dedup, lm, pii, quality, secrets, simhash
 from .textcore import load
 
 
@@ -33,6 +33,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(load(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(load(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_pii": op9_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
