@@ -32,7 +32,7 @@ from .line_dedup import ddl
 BUCKETS, WIDTH = 1 << 16, 64
 VOCABULARY = WIDTH * WIDTH
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 16
-TOKENS, RATE, ROUNDS = 4096, 0.15, 1
+TOKENS, RATE, ROUNDS, SHORT = 4096, 0.15, 1, 8
 BOS = VOCABULARY
 F32 = np.float32
 _COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
@@ -134,40 +134,50 @@ class Trainer:
         self.weights = model.weights.copy()
         self.squares = np.full(len(self.weights), 1e-6, F32)
         self.used = np.zeros(len(self.weights), np.int64)
-        self.levels = [(x := slice(*r), Softmax(self.weights[x]), self.squares[x], self.used[x]) for r in ((0, CLASS_ROWS), (CLASS_ROWS, CLASS_ROWS + WORD_ROWS))]
-        self.sorted = np.empty((TOKENS, WIDTH), F32)
+        self.levels = [(Softmax(self.weights[slice(*r)]), self.squares[slice(*r)]) for r in ((0, CLASS_ROWS), (CLASS_ROWS, CLASS_ROWS + WORD_ROWS))]
+        self.part = np.empty((TOKENS, WIDTH), F32)
 
-    def _move(self, level: tuple, row: np.ndarray, total: np.ndarray, n: np.ndarray) -> None:
+    def _move(self, level: tuple, row: np.ndarray, total: np.ndarray) -> None:
         """Move rows by their gradients over the root of their squares so far."""
-        _, soft, squares, used = level
-        used[row] += n
-        squares[row] += np.einsum("ij,ij->i", total, total) / WIDTH
-        total *= (RATE / np.sqrt(squares[row]))[:, None]
-        soft.weights[row] -= total
+        soft, squares = level
+        so_far = squares[row]
+        so_far += np.einsum("ij,ij->i", total, total) / WIDTH
+        squares[row] = so_far
+        total *= (-RATE / np.sqrt(so_far))[:, None]
+        np.take(soft.weights, row, axis=0, out=(old := self.part[: len(row)]), mode="clip")
+        total += old
+        soft.weights[row] = total
 
     def _sums(self, g: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Sums of g's rows over the runs of ``order``: run by run, or, if most are short, by place within the run."""
+        """Sums of g's rows over the runs of ``order``: place by place for short runs, by eights for the rest of long ones."""
         n = len(order)
         if len(first) == 1:
             return (np.ones(n, F32) @ g)[None, :]
-        if 2 * len(first) < n:
-            np.take(g, order, axis=0, out=self.sorted[:n], mode="clip")
-            return np.add.reduceat(self.sorted[:n], first, axis=0)
-        total = g[order[first]]
+        total = np.take(g, order[first], axis=0)
         live, d = np.flatnonzero(size > 1), 1
-        while len(live) and d < 8:
-            total[live] += g[order[first[live] + d]]
+        while len(live) and d < SHORT:
+            total[live] += np.take(g, order[first[live] + d], axis=0)
             d += 1
             live = live[size[live] > d]
-        for r in live:
-            total[r] += np.ones(size[r] - d, F32) @ g[order[first[r] + d : first[r] + size[r]]]
+        if len(live):  # what is left of long runs, eight at a time; zeros fill up the last eight
+            rest = size[live] - d
+            eights = -(-rest // 8)
+            run = np.repeat(np.arange(len(live)), eights)
+            begin = 8 * (np.arange(len(run)) - np.repeat(np.cumsum(eights) - eights, eights))
+            place = begin[:, None] + np.arange(8)
+            inside = place < rest[run][:, None]
+            at = np.where(inside, order[np.minimum((first[live] + d)[run][:, None] + place, n - 1)], 0)
+            parts = np.take(g, at.ravel(), axis=0).reshape(len(run), 8, WIDTH)
+            parts[~inside] = 0
+            parts = np.matmul(np.ones((1, 8), F32), parts)[:, 0]
+            total[live] += np.add.reduceat(parts, np.cumsum(eights) - eights, axis=0)
         return total
 
     def step(self, c: np.ndarray, k: np.ndarray, of_class: list[np.ndarray], of_word: list[np.ndarray]) -> None:
         n = len(c)
         at = np.arange(n)
         for level, constant, feats, target in zip(self.levels, (np.zeros(n, np.int64), c), (of_class, of_word), (c, k), strict=True):
-            g, sums, _ = level[1].run(constant, feats, target)
+            g, sums, _ = level[0].run(constant, feats, target)
             g *= (1 / sums)[:, None]
             g[at, target] -= 1
             for f in (constant, *feats):
@@ -175,12 +185,16 @@ class Trainer:
                 row = f[order]
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 size = np.diff(first, append=n)
-                self._move(level, row[first], self._sums(g, order, first, size), size)
+                self._move(level, row[first], self._sums(g, order, first, size))
 
     def block(self, model: Model, buf: np.ndarray, off: np.ndarray) -> None:
         _, w, one, two = words(model, buf, off)
         of_class, of_word = rows(w, one, two)
         c, k = (w // WIDTH).astype(np.int64), (w % WIDTH).astype(np.int64)
+        self.used[0] += len(w)
+        for f, low in ((c, CLASS_ROWS), *((f, 0) for f in of_class), *((f, CLASS_ROWS) for f in of_word)):
+            n = np.bincount(f)
+            self.used[low : low + len(n)] += n
         for i in range(0, len(w), TOKENS):
             s = slice(i, i + TOKENS)
             self.step(c[s], k[s], [f[s] for f in of_class], [f[s] for f in of_word])
@@ -195,7 +209,8 @@ class Trainer:
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float64)
+    size = WIDTH * 2
+    return np.frombuffer(col.buffers()[2], np.uint8)[: (col.offset + len(col)) * size][col.offset * size :].view(np.float16).reshape(-1, WIDTH).astype(F32)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +242,9 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         row, u = b.column(0).to_numpy(), b.column(1).to_numpy()
         v = _vectors(b.column(2))
-        # running means, so that sums never outgrow single precision; a row may occur again within a batch
-        for r, k, x in zip(*_grouped(row, u, v), strict=True):
-            used[r] += k
-            total[r] += (x - total[r]) * (k / used[r])
+        r, k, x = _grouped(row, u, v)
+        used[r] += k
+        total[r] += (x - total[r]) * (k / used[r])[:, None].astype(F32)  # running means stay within single precision
     row = np.flatnonzero(used)
     for i in range(0, len(row), 5000):
         r = row[i : i + 5000]
