@@ -7,9 +7,9 @@ cut into pieces of that length, which fill bins of their own, and one shorter pi
 *Shards.* Documents are dealt by hash of doc_id into shards of about ``shard_docs``; only ids and lengths are shuffled, and
 shards are packed independently, so cost is linear in the input and the loss is below one bin a shard.
 
-*Packing.* Best-fit decreasing first. Then local search between bins that aren't full: starting from the emptiest, pieces
-move to another bin, or one or two pieces go there in exchange for one smaller than them, whenever that makes the sum of
-squared fills larger, the largest gain first (ties: move before one-for-one before two-for-one, then the earlier pieces).
+*Packing.* Best-fit decreasing first. Then local search between bins that aren't full: starting from the emptiest, a piece
+moves to another bin, or one or two pieces go there in exchange for one smaller than them, whenever that makes the sum of
+squared fills larger, the largest gain first (ties: move before one-for-one before two-for-one, then the earlier bin).
 It ends when no exchange is left, or when there are no more bins than the total length needs, as then none can be emptied.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textcore as T
 from .line_dedup import ddl
 
-CAPACITY, SHARD_DOCS = 2048, 20_000
+CAPACITY, SHARD_DOCS = 2048, 2048
 _LENGTHS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 _BINS = pa.schema([("bin_id", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 _SIGN = T.NONSPACE & ~T.WORD
@@ -79,67 +79,94 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def exchange(a: np.ndarray, b: np.ndarray, space: int, ahead: int) -> tuple[list[int], int | None] | None:
-    """The best exchange from a bin with pieces ``a`` to one with pieces ``b`` and ``space``, which is fuller by ``ahead``.
+def _largest(sizes: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The largest of ``sizes`` (ascending) within each limit; 0 if there is none."""
+    if not len(sizes):
+        return np.zeros(len(limit), np.int64)
+    at = np.searchsorted(sizes, limit, "right")
+    return np.where(at > 0, sizes[np.maximum(at - 1, 0)], 0)
 
-    (places in a that go, place in b that comes back or None); None if no exchange makes the sum of squares larger. A net
-    shift of d changes it by 2d(ahead + d), so among shifts that fit the largest is best, if d > -ahead.
+
+def exchange(own: np.ndarray, fill: int, spaces: np.ndarray, fills: np.ndarray, pieces: np.ndarray, owner: np.ndarray) -> tuple[list[int], int, int | None] | None:
+    """The best exchange from a bin with the piece sizes ``own`` to one of several targets.
+
+    ``pieces`` are the targets' pieces, ``owner`` their targets. (sizes that go, target, place in ``pieces`` that comes back or
+    None); None if no exchange makes the sum of squared fills larger. A net shift of d to a target that is fuller by h
+    changes it by 2d(h + d), so of the shifts that fit, d > max(0, -h), the largest is a target's best.
     """
-    least = max(0, -ahead)
-    best, what = least, None
-    d = np.where(a <= space, a, 0)
-    if len(d) and d.max() > best:
-        best, what = int(d.max()), ([int(d.argmax())], None)
-    if best < space and len(b):
-        d = a[:, None] - b[None, :]
-        d = np.where(d <= space, d, 0)
-        if d.max() > best:
-            i, j = np.unravel_index(int(d.argmax()), d.shape)
-            best, what = int(d.max()), ([int(i)], int(j))
-        if best < space and len(a) > 1:
-            p, q = np.triu_indices(len(a), 1)
-            d = (a[p] + a[q])[:, None] - b[None, :]
-            d = np.where(d <= space, d, 0)
-            if d.max() > best:
-                i, j = np.unravel_index(int(d.argmax()), d.shape)
-                what = ([int(p[i]), int(q[i])], int(j))
+    one, count = np.unique(own, return_counts=True)
+    i, j = np.triu_indices(len(one))
+    twin = (i != j) | (count[i] > 1)
+    pair, at = np.unique(one[i[twin]] + one[j[twin]], return_index=True)
+    first, second = one[i[twin]][at], one[j[twin]][at]
+    ahead = fills - fill
+    best, what = 0, None
+    for kind, sums, target, back in (("move", one, np.arange(len(spaces)), 0), ("one", one, owner, pieces), ("two", pair, owner, pieces)):
+        if not len(target):
+            continue
+        go = _largest(sums, spaces[target] + back)
+        d = np.where(go > 0, go - back, 0)
+        gain = np.where(d > np.maximum(0, -ahead[target]), 2 * d * (ahead[target] + d), 0)
+        k = int(gain.argmax())
+        if gain[k] > best:
+            best = int(gain[k])
+            n = int(np.searchsorted(pair, go[k]))
+            sizes = [int(first[n]), int(second[n])] if kind == "two" else [int(go[k])]
+            what = (sizes, int(target[k]), None if kind == "move" else k)
     return what
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Local search between the bins that aren't full; the bins that are left, none of them empty."""
+    """Local search between the bins that aren't full; the bins that are left, none of them empty.
+
+    A bin that has no exchange is looked at again only with the bins that changed since.
+    """
     need = -(-sum(sizes) // capacity)
-    bins = [list(b) for b in bins]
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    alive = len(bins)
-    stuck: set[int] = set()
+    size, at = np.array(sizes, np.int64), np.zeros(len(sizes), np.int64)
+    for k, b in enumerate(bins):
+        at[b] = k
+    fill = np.bincount(at, size, len(bins)).astype(np.int64)
+    open_ = np.flatnonzero(fill[at] < capacity)  # pieces that may move
+    changed, seen = np.ones(len(bins), np.int64), np.zeros(len(bins), np.int64)
+    now, alive = 1, len(bins)
     while alive > need:
-        sources = [k for k in range(len(bins)) if bins[k] and k not in stuck and fill[k] < capacity]
-        if not sources:
+        wait = np.flatnonzero((fill > 0) & (fill < capacity) & (seen < now))
+        if not len(wait):
             break
-        a = min(sources, key=lambda k: (fill[k], k))
-        moved = False
-        for b in sorted((k for k in range(len(bins)) if k != a and bins[k] and fill[k] < capacity), key=lambda k: (-fill[k], k)):
-            while bins[a] and fill[b] < capacity:
-                found = exchange(np.array([sizes[i] for i in bins[a]]), np.array([sizes[i] for i in bins[b]]), capacity - fill[b], fill[b] - fill[a])
-                if found is None:
-                    break
-                go = [bins[a][i] for i in found[0]]
-                back = [] if found[1] is None else [bins[b][found[1]]]
-                shift = sum(sizes[i] for i in go) - sum(sizes[i] for i in back)
-                bins[a] = [i for i in bins[a] if i not in go] + back
-                bins[b] = [i for i in bins[b] if i not in back] + go
-                fill[a] -= shift
-                fill[b] += shift
-                moved = True
-            if not bins[a]:
-                alive -= 1
-                break
-        if moved:
-            stuck.clear()
-        else:
-            stuck.add(a)
-    return [b for b in bins if b]
+        a = int(wait[fill[wait].argmin()])
+        target = np.flatnonzero((fill > 0) & (fill < capacity) & (changed > seen[a]))
+        target = target[target != a]
+        if seen[a] < changed[a]:
+            target = np.flatnonzero((fill > 0) & (fill < capacity))
+            target = target[target != a]
+        number = np.full(len(bins), -1, np.int64)
+        number[target] = np.arange(len(target))
+        own, other = open_[at[open_] == a], open_[number[at[open_]] >= 0]
+        found = exchange(size[own], int(fill[a]), capacity - fill[target], fill[target], size[other], number[at[other]]) if len(target) else None
+        if found is None:
+            seen[a] = now
+            continue
+        left, b = own.tolist(), int(target[found[1]])
+        now += 1
+        for n in found[0]:
+            k = next(k for k in left if size[k] == n)
+            left.remove(k)
+            at[k] = b
+            fill[a] -= n
+            fill[b] += n
+        if found[2] is not None:
+            k = other[found[2]]
+            at[k] = a
+            fill[a] += size[k]
+            fill[b] -= size[k]
+        changed[a] = changed[b] = now
+        if not fill[a]:
+            alive -= 1
+        if fill[b] == capacity or fill[a] == capacity:
+            open_ = open_[fill[at[open_]] < capacity]
+    order = np.argsort(at, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
+    return [p.tolist() for p in parts]
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[list[list[int]], list[list[int]], list[list[int]]]:
