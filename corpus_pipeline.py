@@ -6,18 +6,44 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vexmark.llm import graph, simhash
+from vexmark.llm import decontam, graph, line_dedup, packing, quality, simhash
 from vexmark.llm.textcore import load
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is fitted on the labelled documents of its input."""
+    return quality.drop_rejected(docs, load(spark, sf_dir, "labels"))
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go, and documents that had nothing else; ``n_chars`` follows the text."""
+    out = line_dedup.drop_recurring_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return out.where("text IS NULL OR n_chars > 0").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.drop_near_duplicates(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as training sequences of fixed capacity."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_filter),
+    ("line dedup", drop_recurring_lines),
     ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
 ]
 
 #: No stage but the last line filters could be written in SQL; the tests compare with brute-force versions.
