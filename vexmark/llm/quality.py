@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 *Statistics.* Shares of byte classes, word and line shapes, and repetition, all from whole texts; and how strongly the
-document's words, and their four-byte beginnings, lean to one label. That lean is learnt from the labelled rows as smoothed
+document's words, and their beginnings of four and of six bytes, lean to one label. That lean is learnt from the labelled rows as smoothed
 log-odds of hashed words, each labelled document being judged by the other folds' counts, so the trees never see a lean that
 a document's own label went into.
 
@@ -33,6 +33,7 @@ BAD_THRESHOLD, TOXIC_THRESHOLD = 0.5, 0.4
 _SCORES = pa.schema([("doc_id", pa.int64()), ("p_bad", pa.float64()), ("p_toxic", pa.float64())])
 STATS = ["log_bytes", "log_words", "log_lines", "word_bytes", "upper", "digit", "space", "high", "punct", "symbol", "pipe", "stop", "caps_words", "short_words", "long_words", "distinct", "repeat_next", "repeat_top", "words_a_line", "short_lines"]
 STRONG = 1.5
+BEGINNINGS = (4, 6)
 LEANS = ["mean", "most", "least", "strong_sum", "strong_share"]
 
 _CLASS = np.zeros((256, 7), bool)
@@ -52,7 +53,8 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, tuple[np.n
     width = end - start
     words = np.diff(before)
     row = T.rows_of(before)
-    beginning = T.span_hash(T.prefix_hash(T.LOWER[buf]), start, np.minimum(end, start + 4)) ^ T.U64(0xABCDEF)
+    lower = T.prefix_hash(T.LOWER[buf])
+    beginnings = [T.span_hash(lower, start, np.minimum(end, start + k)) ^ T.U64(0xABCDEF * k) for k in BEGINNINGS]
 
     def per_row(flags: np.ndarray) -> np.ndarray:
         c = np.zeros(len(flags) + 1, np.int64)
@@ -83,7 +85,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, tuple[np.n
     begin = np.arange(n) + np.searchsorted(newline, off[:-1])
     short = np.concatenate([[0], np.cumsum((in_line > 0) & (in_line < 4))])
     cols = [np.log1p(size), np.log1p(words), np.log1p(lines), over_words(width) / w, *(c / d for c in classes[:7]), classes[4] / w, over_words(caps) / w, over_words((width <= 2).astype(float)) / w, over_words((width >= 14).astype(float)) / w, np.bincount(sr[first], minlength=n) / w, over_words(same) / w, top / w, words / lines, (short[begin + lines] - short[begin]) / lines]
-    return np.stack(cols, axis=1).astype(np.float32), (before, h, beginning)
+    return np.stack(cols, axis=1).astype(np.float32), (before, h, *beginnings)
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -188,7 +190,7 @@ def _log_odds(docs_with: list[np.ndarray], n: list[float]) -> np.ndarray:
 def fit(texts: pa.Array, labels: list[np.ndarray]) -> Model:
     """One set of trees for each of the 0/1 label arrays; a label below 0 is unknown."""
     n = len(texts)
-    stats, bounds, words = [], [0], [[], []]
+    stats, bounds, words = [], [0], [[] for _ in range(1 + len(BEGINNINGS))]
     for _, _, buf, off in T.text_blocks(texts):
         s, (before, *hashes) = statistics(buf, off)
         stats.append(s)
@@ -212,7 +214,7 @@ def fit(texts: pa.Array, labels: list[np.ndarray]) -> Model:
             table.append(_log_odds(list(all_c), list(all_n)))
             own.append([_log_odds(list(all_c - counts[:, k]), list(all_n - sizes[:, k])) for k in range(FOLDS)])
             lean.append(w.astype(T.U64))
-        parts = np.zeros((n, 2 * len(LEANS)), np.float32)
+        parts = np.zeros((n, len(words) * len(LEANS)), np.float32)
         for k in range(FOLDS):
             parts[fold == k] = leans(before, tuple(lean), [o[k] for o in own])[fold == k]
         known = y >= 0
