@@ -87,7 +87,7 @@ def ip_address(text: str, at: int) -> Span | None:
     begin, end = _back(text, at, _DIGITS | {"."}), _run(text, at, _DIGITS | {"."})
     while end > at and text[end - 1] == ".":
         end -= 1
-    while begin < at and text[begin] == ".":
+    while begin < end and text[begin] == ".":
         begin += 1
     parts = text[begin:end].split(".")
     alone = (begin == 0 or text[begin - 1] not in _ALNUM) and (end == len(text) or text[end] not in _ALNUM)
