@@ -278,4 +278,5 @@ def _filter(shared, bad_threshold: float, toxic_threshold: float, text_at: int):
 def drop_rejected(docs: DataFrame, labels: DataFrame, bad_threshold: float = BAD_THRESHOLD, toxic_threshold: float = TOXIC_THRESHOLD, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``classify`` rejects, in one pass and without a shuffle; all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labelled, id_col, text_col))
-    return docs.mapInArrow(_filter(shared, bad_threshold, toxic_threshold, docs.columns.index(text_col)), docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots can't be resolved otherwise
+    return plain.mapInArrow(_filter(shared, bad_threshold, toxic_threshold, docs.columns.index(text_col)), plain.schema).toDF(*docs.columns)
