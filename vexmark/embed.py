@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .types import EMBEDDING_DIMENSION
 
+DIRECTIONS = 1 << 14
+_WORD = re.compile(r"\w+")
+
 
 class Embedder(Protocol):
     """A model: texts in, one row of ``EMBEDDING_DIMENSION`` floats each out. It is pickled to the workers and loaded there."""
@@ -34,25 +39,26 @@ def normalize(x: np.ndarray) -> np.ndarray:
     return np.where(n > 1e-12, x / np.maximum(n, 1e-12), x).astype(np.float32)
 
 
+@lru_cache(maxsize=4)
+def _directions(dimensions: int) -> np.ndarray:
+    return np.random.default_rng(11).normal(size=(DIRECTIONS, dimensions)).astype(np.float32)
+
+
 class HashingEmbedder:
-    """A deterministic model that needs no files: each word's hash seeds a direction, and a text is the mean of its words'."""
+    """A deterministic model that needs no files: a word's hash picks a direction and its sign, a text is the mean of its words'."""
 
     def __init__(self, dimensions: int = EMBEDDING_DIMENSION) -> None:
         self.dimensions = dimensions
 
-    def _word(self, word: str, known: dict[str, np.ndarray]) -> np.ndarray:
-        if word not in known:
-            known[word] = np.random.default_rng(zlib.crc32(word.encode())).normal(size=self.dimensions).astype(np.float32)
-        return known[word]
-
     def __call__(self, texts: list[str]) -> np.ndarray:
-        known: dict[str, np.ndarray] = {}
+        table = _directions(self.dimensions)
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for i, t in enumerate(texts):
-            words = re.findall(r"\w+", t.lower())
-            if words:
-                tokens = np.stack([self._word(w, known) for w in words])[None]
-                out[i] = mean_pool(tokens, np.ones((1, len(words)), bool))[0]
+            n = Counter(_WORD.findall(t.lower()))
+            if n:
+                h = np.fromiter((zlib.crc32(w.encode()) for w in n), np.int64, len(n))
+                weight = np.fromiter(n.values(), np.float32, len(n)) * np.where(h >> 31 & 1, 1, -1)
+                out[i] = weight.astype(np.float32) @ table[h % DIRECTIONS] / n.total()
         return normalize(out)
 
 
