@@ -163,6 +163,13 @@ def test_many_equal_copies_and_ties(spark):
     assert simhash.drop_near_duplicates(df).count() == 2
 
 
+def test_texts_of_one_doc_id_connect(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(words(rng, 60, 5000)) for _ in range(3))
+    df = frame(spark, [a, a, b, b, c], [1, 7, 7, 3, 9])
+    assert {r.doc_id: (r.group_id, r.group_size) for r in simhash.near_duplicate_groups(df).collect()} == {1: (1, 3), 7: (1, 3), 3: (1, 3), 9: (9, 1)}
+
+
 def test_simhash_corner_cases(spark):
     docs = clashing(odd(spark))
     got = {r.doc_id: (r.group_id, r.group_size, r.keep) for r in simhash.near_duplicate_groups(docs).collect()}
