@@ -89,18 +89,18 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, tuple[np.n
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
-    return (h & T.U64(BUCKETS - 1)).astype(np.int64)
+    return (h & T.U64(BUCKETS - 1)).astype(np.uint16)
 
 
-def leans(before: np.ndarray, hashes: tuple[np.ndarray, ...], odds: list[np.ndarray]) -> np.ndarray:
-    """Rows of LEANS for each of the hashes' log-odds tables."""
+def leans(before: np.ndarray, buckets: list[np.ndarray], odds: list[np.ndarray], table_of: np.ndarray | None = None) -> np.ndarray:
+    """Rows of LEANS for each family of buckets and its log-odds table; ``table_of`` gives each row's one of several tables."""
     n, out = len(before) - 1, []
     w = np.maximum(np.diff(before), 1)
     row = T.rows_of(before)
     some = np.diff(before) > 0
     at = before[:-1][some]
-    for h, table in zip(hashes, odds, strict=True):
-        x = table[bucket(h)]
+    for b, table in zip(buckets, odds, strict=True):
+        x = table[b] if table_of is None else table[table_of[row], b]
         most, least = np.zeros(n), np.zeros(n)
         if len(x):
             most[some] = np.maximum.reduceat(x, at)
@@ -179,7 +179,8 @@ class Model:
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         stats, (before, *hashes) = statistics(buf, off)
-        return [tr.probability(np.concatenate([stats, leans(before, hashes, o)], axis=1)) for o, tr in zip(self.odds, self.trees, strict=True)]
+        buckets = [bucket(h) for h in hashes]
+        return [tr.probability(np.concatenate([stats, leans(before, buckets, o)], axis=1)) for o, tr in zip(self.odds, self.trees, strict=True)]
 
 
 def _log_odds(docs_with: list[np.ndarray], n: list[float]) -> np.ndarray:
@@ -189,37 +190,37 @@ def _log_odds(docs_with: list[np.ndarray], n: list[float]) -> np.ndarray:
 
 def fit(texts: pa.Array, labels: list[np.ndarray]) -> Model:
     """One set of trees for each of the 0/1 label arrays; a label below 0 is unknown."""
-    n = len(texts)
-    stats, bounds, words = [], [0], [[] for _ in range(1 + len(BEGINNINGS))]
-    for _, _, buf, off in T.text_blocks(texts):
+    n, kinds = len(texts), 1 + len(BEGINNINGS)
+    fold = np.arange(n) % FOLDS
+    blocks, stats = [], []
+    counts = np.zeros((len(labels), kinds, 2, FOLDS, BUCKETS), np.int32)
+    for i, j, buf, off in T.text_blocks(texts):
         s, (before, *hashes) = statistics(buf, off)
+        words = [bucket(h) for h in hashes]
         stats.append(s)
-        bounds += list(bounds[-1] + before[1:])
-        for w, h in zip(words, hashes, strict=True):
-            w.append(bucket(h).astype(np.int32))
+        blocks.append((i, j, before, words))
+        row = T.rows_of(before)
+        for k, w in enumerate(words):
+            u = np.unique(row * BUCKETS + w)  # a word counts once a document
+            r, b = i + u // BUCKETS, u % BUCKETS
+            for count, y in zip(counts, labels, strict=True):
+                known = y[r] >= 0
+                np.add.at(count[k], (y[r[known]], fold[r[known]], b[known]), 1)
     x = np.concatenate(stats) if stats else np.zeros((0, len(STATS)), np.float32)
-    before = np.array(bounds)
-    words = [np.concatenate(w) if w else np.zeros(0, np.int32) for w in words]
-    row = T.rows_of(before)
-    uniq = [np.unique(row * BUCKETS + w) for w in words]
-    fold = np.arange(n) % FOLDS
     odds, trees = [], []
-    for y in labels:
-        table, lean, own = [], [], []
-        for u, w in zip(uniq, words, strict=True):
-            r, b = u // BUCKETS, u % BUCKETS
-            counts = np.stack([[np.bincount(b[(y[r] == c) & (fold[r] == k)], minlength=BUCKETS) for k in range(FOLDS)] for c in (0, 1)])
-            sizes = np.array([[((y == c) & (fold == k)).sum() for k in range(FOLDS)] for c in (0, 1)], float)
-            all_c, all_n = counts.sum(axis=1), sizes.sum(axis=1)
+    for count, y in zip(counts, labels, strict=True):
+        sizes = np.array([[((y == c) & (fold == k)).sum() for k in range(FOLDS)] for c in (0, 1)], float)
+        all_n = sizes.sum(axis=1)
+        table, others = [], []
+        for c in count:
+            all_c = c.sum(axis=1)
             table.append(_log_odds(list(all_c), list(all_n)))
-            own.append([_log_odds(list(all_c - counts[:, k]), list(all_n - sizes[:, k])) for k in range(FOLDS)])
-            lean.append(w.astype(T.U64))
-        parts = np.zeros((n, len(words) * len(LEANS)), np.float32)
-        for k in range(FOLDS):
-            parts[fold == k] = leans(before, tuple(lean), [o[k] for o in own])[fold == k]
+            others.append(np.stack([_log_odds(list(all_c - c[:, k]), list(all_n - sizes[:, k])) for k in range(FOLDS)]))
+        parts = [leans(before, words, others, fold[i:j]) for i, j, before, words in blocks]
         known = y >= 0
         odds.append(table)
-        trees.append(boost(np.concatenate([x, parts], axis=1)[known], y[known].astype(float)))
+        features = np.concatenate([x, np.concatenate(parts) if parts else np.zeros((0, kinds * len(LEANS)), np.float32)], axis=1)
+        trees.append(boost(features[known], y[known].astype(float)))
     return Model(odds, trees)
 
 
