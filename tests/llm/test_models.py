@@ -1,6 +1,8 @@
 """Packing, secrets, personal data, and the trained models."""
 
+import glob
 import itertools
+import os
 import random
 import re
 
@@ -84,19 +86,17 @@ def test_packing_keeps_every_token(spark):
     assert bins <= 1.02 * sum(len(re.findall(r"\w+|[^\w\s]", t)) for t in texts) / 100 + 2
 
 
-def test_packing_by_a_public_tokenizer(spark):
-    import glob
-
-    files = glob.glob("/opt/tokenizers/**/tokenizer.json", recursive=True)
-    if not files:
-        pytest.skip("no tokenizer file here")
+@pytest.mark.parametrize("path", sorted(glob.glob(os.environ.get("TOKENIZER_FILES", "/opt/tokenizers/*.json"))))
+def test_packing_by_a_public_tokenizer(spark, path):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(files[0])
-    texts = ["Hello there, world!", "", "<|endoftext|> is text here", "ñandú 🙂"]
-    want = sum(len(tok.encode(t, add_special_tokens=False).ids) for t in texts if "<|" not in t)
-    got = packing.pack_documents(frame(spark, [t for t in texts if "<|" not in t]), tokenizer_path=files[0]).collect()
-    assert sum(r.n_tokens for r in got) == want
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    texts = ["Hello there, world!", "", "<|endoftext|> is ordinary text here", "ñandú 🙂", None]
+    want = {i: n for i, t in enumerate(texts) if (n := len(tok.encode(t or "", add_special_tokens=False).ids))}
+    got = packing.pack_documents(frame(spark, texts), capacity=8, tokenizer_path=path).collect()
+    assert {d: sum(n for r in got for x, n in zip(r.doc_ids, r.lengths, strict=True) if x == d) for d in want} == want
+    assert sum(r.n_tokens for r in got) == sum(want.values())
 
 
 def test_packing_corner_cases(spark):
