@@ -248,6 +248,38 @@ def test_search_finds_what_brute_force_finds(spark):
     assert all(got[len(texts) - 5 + k].match_id == k for k in range(5))
 
 
+@pytest.mark.parametrize("piece", [fingerprints.PIECE, 40])
+def test_groups_hold_the_pairs_of_brute_force(spark, piece):
+    """Groups of hundreds whose members lie between documents that share passages with them and match none."""
+    rng = random.Random(12)
+    passages = [words(rng, 40, 5000) for _ in range(3)]
+    bases = [words(rng, n, 5000) for n in (150, 150, 700)]
+    texts = []
+    for k in range(600):
+        t = list(bases[k % 3]) if k % 2 else words(rng, 170, 5000)
+        for _ in range(len(t) // 40):
+            t[rng.randrange(len(t))] = f"new{rng.randrange(9999)}"
+        texts.append(" ".join([*passages[k % 3], *t]))
+    got = {r.doc_id: r for r in fingerprints.fingerprint(frame(spark, texts).repartition(3), group_col="group", piece=piece).collect()}
+    d = [bytes(got[i].digest) for i in range(len(texts))]
+    true = np.zeros((len(d), len(d)))
+    for i in range(len(d)):
+        for j in range(i):
+            true[i, j] = fingerprints.similarity(d[i], d[j])
+    one = fingerprints.Chains(d)
+    assert np.tril(fingerprints.similarities(one, one), -1) == pytest.approx(true)
+    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(true >= fingerprints.MATCH), strict=True)]
+    assert len(pairs) > 5000 and len({i for p in pairs for i in p}) < len(d)
+    assert sum(got[i].group == got[j].group for i, j in pairs) >= 0.9 * len(pairs)
+    root = list(range(len(d)))
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root] if a != b else root
+    assert all(root[r.group] == root[i] for i, r in got.items())
+    best = {i: true[i].max() for i in {i for i, _ in pairs}}
+    assert sum(got[i].similarity is not None and got[i].similarity >= s - 1e-9 for i, s in best.items()) >= 0.9 * len(best)
+
+
 def test_chains_of_filters():
     h = np.random.default_rng(1).integers(0, 2**63, 400).astype(np.uint64)
     f, chain = fingerprints.filters(np.zeros(400, int), h, 1)

@@ -14,9 +14,12 @@ one of the chain begins.
 directions is the similarity of the two, between 0 and 1.
 
 *Search.* Digests that are equal are one node. Of each node 16 keys, each the hash of two minima of its features under random
-orders, go into a shuffle; within a key's bucket a node is compared with the one before it, in the order of doc_id, so the
-comparisons stay linear in the input however large a bucket is. Documents of similarity ``match`` or more agree in a key with
-a probability of 0.95 or more, and mostly in many keys, so one whose neighbour in a bucket happens to be no match has others.
+orders, go into a shuffle, and within a key's bucket all nodes are compared with each other; documents of similarity ``match``
+or more agree in a key with a probability of 0.95 or more. Of buckets with the same nodes one is compared. A bucket of more
+than PIECE nodes is split into chunks, and each two chunks, and each chunk by itself, are a piece of their own, so a hot bucket
+spreads over tasks; its work grows with the square of its nodes, none of which is left out. A piece sends each node's best
+match and a spanning star of each set of nodes that matches connect, so what leaves it is linear in its nodes; the stars'
+connected components are the groups.
 """
 
 from __future__ import annotations
@@ -25,16 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .graph import checkpointed
+from .graph import checkpointed, components
 from .line_dedup import ddl
 
 WINDOW, SPAN, POINTS, CLASSES, LOW_CLASS = 64, 64, 16, 1000, 100
 FILTER_BITS, PER_FILTER, SUBHASHES = 2048, 160, 5
 KEYS, MINIMA, MATCH = 16, 2, 0.6
+PIECE, TILE = 2048, 1024
 CHUNK = 1 << 16
 _BYTES = FILTER_BITS // 8
 _UNIT = 1 << 12
@@ -44,7 +48,7 @@ _MOST = int(_UNIT * WINDOW * np.log2(WINDOW))
 _POPCOUNT_SCHEMA = pa.schema([("cls", pa.int32()), ("n", pa.int64())])
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_features", pa.int64()), ("digest", pa.binary()), ("keys", pa.binary())])
 _KEYS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64())])
-_SCORED = pa.schema([("row", pa.int64()), ("match_id", pa.int64()), ("similarity", pa.float64())])
+_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("root", pa.int64()), ("match_id", pa.int64()), ("similarity", pa.float64())])
 
 
 def entropy_classes(buf: np.ndarray) -> np.ndarray:
@@ -206,20 +210,83 @@ def similarity(x: bytes, y: bytes) -> float:
     return min(one_way(f, g), one_way(g, f))
 
 
-def _similarities(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
-    out = np.zeros(len(xs))
-    single = np.array([len(x) == len(y) == _BYTES for x, y in zip(xs, ys, strict=True)], bool)
-    at = np.flatnonzero(single)
-    if len(at):
-        f, g = (np.frombuffer(b"".join(d[i] for i in at), np.uint64).reshape(len(at), -1) for d in (xs, ys))
-        a, b, both = (np.bitwise_count(v).sum(axis=1, dtype=np.int64) for v in (f, g, f & g))
-        chance = a * b / FILTER_BITS
-        out[at] = np.clip((both - chance) / np.maximum(np.maximum(a, b) - chance, 1e-9), 0, 1)
-    for i in np.flatnonzero(~single):
-        out[i] = similarity(xs[i], ys[i])
+class Chains:
+    """Some digests' filters, for ``similarities``."""
+
+    def __init__(self, digests: list[bytes]) -> None:
+        size = np.array([len(d) for d in digests]) // _BYTES
+        self.first = np.cumsum(size) - size
+        self.bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, _BYTES), axis=1).astype(np.float32)
+        self.ones = self.bits.sum(axis=1).astype(np.float64)
+        self.total = np.add.reduceat(self.ones, self.first)
+
+
+def similarities(x: Chains, y: Chains) -> np.ndarray:
+    """``similarity`` of each of x's digests with each of y's."""
+    a, b = x.ones[:, None], y.ones[None, :]
+    chance = a * b / FILTER_BITS
+    best = np.clip(((x.bits @ y.bits.T) - chance) / np.maximum(np.maximum(a, b) - chance, 1e-9), 0, 1)
+    if best.shape == (len(x.first), len(y.first)):  # one filter each
+        return best
+    there = np.add.reduceat(np.maximum.reduceat(best, y.first, axis=1) * a, x.first, axis=0) / x.total[:, None]
+    back = np.add.reduceat(np.maximum.reduceat(best, x.first, axis=0) * b, y.first, axis=1) / y.total[None, :]
+    return np.minimum(there, back)
+
+
+def _tiles(at: np.ndarray, digests: list[bytes]) -> list[np.ndarray]:
+    """``at`` in runs of at most TILE filters, or one digest."""
+    ends = np.cumsum([len(digests[i]) // _BYTES for i in at])
+    out, begin = [], 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TILE, "right")))
+        out.append(at[begin:end])
+        begin = end
     return out
 
 
+def _roots(near: np.ndarray) -> np.ndarray:
+    """Each row's smallest connected row."""
+    label = np.full(len(near), -1)
+    for u in range(len(near)):
+        front = np.array([u]) if label[u] < 0 else np.zeros(0, np.int64)
+        label[front] = u
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & (label < 0))
+            label[front] = u
+    return label
+
+
+def _matches(row: np.ndarray, doc: np.ndarray, side: np.ndarray, digests: list[bytes], match: float) -> pa.RecordBatch:
+    """Of a piece's nodes, in the order of doc_id, those with a match: their best one and the first node that matches connect them to."""
+    n = len(row)
+    near, most, best = np.zeros((n, n), bool), np.full(n, -1.0), np.zeros(n, np.int64)
+    sides = [_tiles(np.flatnonzero(side == k), digests) for k in np.unique(side)]
+    if len(sides) == 1:
+        pairs = [(x, y) for i, x in enumerate(sides[0]) for y in sides[0][i:]]
+    else:
+        pairs = [(x, y) for x in sides[0] for y in sides[1]]
+    made = None
+    for x, y in pairs:
+        if made is None or made[0] is not x:
+            made = x, Chains([digests[i] for i in x])
+        s = similarities(made[1], made[1] if y is x else Chains([digests[i] for i in y]))
+        hit = (s >= match) & (doc[x][:, None] != doc[y][None, :])
+        if not hit.any():
+            continue
+        near[np.ix_(x, y)] |= hit
+        near[np.ix_(y, x)] |= hit.T
+        for u, v, t, h in ((x, y, s, hit), (y, x, s.T, hit.T)):
+            t = np.where(h & (doc[v][None, :] < doc[u][:, None]), t, -1.0)
+            k = t.argmax(axis=1)
+            t, d = t[np.arange(len(u)), k], doc[v[k]]
+            better = (t > most[u]) | ((t == most[u]) & (t >= 0) & (d < best[u]))
+            most[u[better]], best[u[better]] = t[better], d[better]
+    root = _roots(near)
+    hit = np.flatnonzero((root != np.arange(n)) | (most >= 0))
+    none = most[hit] < 0
+    return T.batch(_FOUND, row=row[hit], doc_id=doc[hit], root=doc[root[hit]], match_id=pa.array(best[hit], mask=none), similarity=pa.array(most[hit], mask=none))
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -229,33 +296,59 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(match: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def piece() -> pa.RecordBatch:
+            row, doc, side = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (2, 3, 4))
+            return _matches(row, doc, side, [d for b in held for d in b.column(5).to_pylist()], match)
+
+        last = None
         for b in batches:
-            s = _similarities(b.column(2).to_pylist(), b.column(3).to_pylist())
-            keep = pa.array(np.flatnonzero(s >= match))
-            yield T.batch(_SCORED, row=b.column(0).take(keep), match_id=b.column(1).take(keep), similarity=pa.array(s).take(keep))
+            if not b.num_rows:
+                continue
+            key, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+            begin = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1), b.num_rows]
+            for i, j in zip(begin[:-1], begin[1:], strict=True):
+                if held and (key[i], part[i]) != last:
+                    yield piece()
+                    held = []
+                held.append(b.slice(i, j - i))
+                last = key[i], part[i]
+        if held:
+            yield piece()
 
     return run
 
 
-def fingerprint(docs: DataFrame, match: float = MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _found(nodes: DataFrame, digest: DataFrame, match: float, piece: int) -> DataFrame:
+    """The nodes with a match in each piece of each bucket; see ``_matches``."""
+    keyed = nodes.select("doc_id", "row", "keys").mapInArrow(_spread, ddl(_KEYS))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x2")).where("n > 1")
+    buckets = buckets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / piece).alias("chunks"))
+    members = keyed.join(buckets, "key").withColumn("side", F.when(F.col("chunks") > 1, F.expr("pmod(xxhash64(row), chunks)")).otherwise(0).cast("long"))
+    parts = F.expr("explode(transform(sequence(0L, chunks - 1), c -> least(c, side) * chunks + greatest(c, side)))")
+    pieces = members.select("key", parts.alias("part"), "row", "doc_id", "side").join(digest, "row").select("key", "part", "row", "doc_id", "side", "digest")
+    return pieces.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "row").mapInArrow(_compare(match), ddl(_FOUND))
+
+
+def fingerprint(docs: DataFrame, match: float = MATCH, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_features, digest, match_id, similarity): every row's digest and a document of smaller doc_id that it matches.
 
-    Of the comparisons made the most similar of at least ``match`` is reported, of equals the smallest doc_id; a document
-    whose digest equals that of others has the smallest of their doc_ids, with similarity 1. ``match_id`` and ``similarity``
-    are null where there is none: always for null and empty texts, which have an empty digest, and for rows without an id.
-    Repeated rows are rows of the result and never match their own doc_id. Other columns are not read. An empty table gives
-    an empty result.
+    Of the documents that share a key, the most similar of at least ``match`` is reported, of equals the smallest doc_id; a
+    document whose digest equals that of others has the smallest of their doc_ids, with similarity 1. ``match_id`` and
+    ``similarity`` are null where there is none: always for null and empty texts, which have an empty digest, and for rows
+    without an id. ``group_col`` names a further column for the smallest doc_id that matches, of whatever doc_ids, connect
+    with the row's: its own if there are none. Repeated rows are rows of the result and never match their own doc_id. Other
+    columns are not read. An empty table gives an empty result.
     """
     made = checkpointed(_digests(docs, class_counts(docs, text_col), id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     known = made.where("doc_id IS NOT NULL AND n_features > 0").withColumns({"h1": F.xxhash64("digest"), "h2": F.xxhash64("digest", F.lit(1))})
     nodes = checkpointed(known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "keys")).alias("n")).select("h1", "h2", "n.*"))
-    copies = known.select("h1", "h2", "doc_id", "row").join(nodes.select("h1", "h2", F.col("doc_id").alias("match_id")), ["h1", "h2"]).where("doc_id <> match_id").select("row", "match_id", F.lit(1.0).alias("similarity"))
-    keyed = nodes.select("doc_id", "row", "keys").mapInArrow(_spread, ddl(_KEYS))
-    order = Window.partitionBy("key").orderBy("doc_id", "row")
-    linked = keyed.select("row", "doc_id", F.lag("row").over(order).alias("other"), F.lag("doc_id").over(order).alias("match_id"))
-    pairs = linked.where("other IS NOT NULL AND doc_id <> match_id").select("row", "other", "match_id").distinct()
-    digest = made.select("row", "digest")
-    sides = pairs.join(digest, "row").join(digest.select(F.col("row").alias("other"), F.col("digest").alias("that")), "other").select("row", "match_id", "digest", "that")
-    near = sides.mapInArrow(_compare(match), ddl(_SCORED))
-    best = near.union(copies).groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match_id")).alias("b")).select("row", "b.match_id", (-F.col("b.s")).alias("similarity"))
-    return made.join(best, "row", "left").select("doc_id", "n_features", "digest", "match_id", "similarity")
+    copies = known.select("h1", "h2", "doc_id", "row").join(nodes.select("h1", "h2", F.col("doc_id").alias("match_id")), ["h1", "h2"]).where("doc_id <> match_id").select("row", "doc_id", F.col("match_id").alias("root"), "match_id", F.lit(1.0).alias("similarity"))
+    found = checkpointed(_found(nodes, made.select("row", "digest"), match, piece).union(copies))
+    best = found.where("match_id IS NOT NULL").groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match_id")).alias("b")).select("row", "b.match_id", (-F.col("b.s")).alias("similarity"))
+    out = made.join(best, "row", "left").select("doc_id", "n_features", "digest", "match_id", "similarity")
+    if group_col is None:
+        return out
+    group = components(found.selectExpr("doc_id AS a", "root AS b"))
+    return out.join(group, F.col("doc_id") == F.col("node"), "left").select(*out.columns, F.coalesce("root", "doc_id").alias(group_col))

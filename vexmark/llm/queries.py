@@ -18,7 +18,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint(load(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint(load(spark, sf_dir, "documents"), group_col="group_id")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
