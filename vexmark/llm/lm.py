@@ -10,8 +10,9 @@ softmax thus costs 128 sums instead of 4,096.
 
 *Training.* The constant's weights start at the corpus counts. Then each task takes all its documents through minibatches of
 gradient steps (AdaGrad per row) from the shared weights, and sends the rows it moved with how often each was used; rows
-are averaged over tasks by that use in a shuffle. A further round repeats this from the averages. What is gathered grows
-with the number of tasks, that is with the input; the model's size is fixed, 21 MB, and so is what is broadcast.
+are averaged over tasks by that use in a shuffle. A further round repeats this from the averages. The model's
+size is fixed, 21 MB, whatever the input, and so is what is broadcast; only the copies of its rows in the shuffle grow with the
+number of tasks.
 
 *Scoring.* Rows are gathered for batches of tokens, and documents get the sum over all their words.
 """
