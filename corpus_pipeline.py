@@ -19,7 +19,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go, and documents that had nothing else; ``n_chars`` follows the text."""
-    out = line_dedup.drop_recurring_lines(docs, count_col="__gone").where("__gone = 0 OR text <> ''").drop("__gone")
+    out = line_dedup.drop_recurring_lines(docs, count_col="__gone", exact=True).where("__gone = 0 OR text <> ''").drop("__gone")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from vexmark.llm import decontam, fingerprints, graph, line_dedup, simhash
+from vexmark.llm import decontam, fingerprints, graph, line_dedup, queries, simhash
 from vexmark.llm import textcore as T
+from vexmark.llm.textcore import load
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -102,6 +103,29 @@ def test_long_passages_go_but_for_the_first(spark):
     assert passage in got[0] and all(passage not in t for t in got[1:])
 
 
+def test_short_recurring_lines_go(spark):
+    """Lines of one or two tokens, of a script without spaces, and with mostly fields; rows of numbers stay."""
+    shared = ["Les.", "And ornd.", "版权所有未经许可不得转载本页内容", "第3章のはじめに", "Page 3", "***"]
+    kept = ["12 34", "7"]
+    df = frame(spark, ["\n".join([f"this is only line {w} here", *shared, "", *kept, end]) for w, end in (("a", "Own"), ("b", "End"), ("c", "Les"))]).repartition(2)
+    got = [r for r in line_dedup.drop_recurring_lines(df, count_col="gone", exact=True).orderBy("doc_id").collect()]
+    assert [r.text.split("\n") for r in got] == [["this is only line a here", *shared, "", *kept, "Own"], ["this is only line b here", "", *kept, "End"], ["this is only line c here", "", *kept, "Les"]]
+    assert [r.gone for r in got] == [0, len(shared), len(shared)]
+
+
+def test_lines_that_recur_exactly_go_from_the_queries(spark, sf):
+    docs = {r.doc_id: r.text for r in load(spark, sf, "documents").collect() if r.doc_id is not None and r.text}
+    got = {r.doc_id: r.text for r in queries.op1_line_dedup(spark, sf).collect()}
+    at, left = {}, {}
+    for texts, into in ((docs, at), (got, left)):
+        for d in texts:
+            for line in set((texts[d] or "").split("\n")):
+                into.setdefault(line, set()).add(d)
+    recur = {x for x, d in at.items() if len(d) > 1 and re.search(r"[^\W\d_]", x)}
+    assert sum(len(x.split()) < 3 for x in recur) > 5
+    assert all(left.get(x, set()) <= {min(at[x])} for x in recur)
+
+
 def test_lines_corner_cases(spark):
     docs = clashing(odd(spark))
     got = line_dedup.drop_recurring_lines(docs, count_col="gone")

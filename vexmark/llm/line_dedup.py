@@ -13,7 +13,9 @@ a batch and no task sees all its occurrences; those are found by a join on the l
 
 *Decision.* A template is recurring if lines of at least two documents (``doc_id``) match it. Its first occurrence, in the
 order of doc_id and line, stays; all other lines that match it go. Lines of fewer than three literal tokens, or with less
-than half of their tokens literal, such as rows of numbers, are never dropped.
+than half of their tokens literal, have no part in the tree. With ``exact`` each of them, of whatever length, is a template of
+its own that only equal lines match, digits included; without it they are never dropped. Lines without a token, and rows of
+numbers (of digits and marks, without a letter or a multi-byte character), are never dropped.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from . import textcore as T
 
 LEADING, SIMILARITY, MIN_LITERALS = 3, 0.7, 3
-_WILD = T.U64(0x5851F42D4C957F2D)
+_WILD, _EXACT = T.U64(0x5851F42D4C957F2D), T.U64(0x2545F4914F6CDD1D)
+_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _DISTINCT = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("doc", pa.int64()), ("no", pa.int32()), ("last_doc", pa.int64()), ("codes", pa.binary())])
 _PLACES = pa.schema([("line", pa.int64()), ("doc", pa.int64()), ("no", pa.int32())])
 _RECURRING = pa.schema([("line", pa.int64()), ("keep_doc", pa.int64()), ("keep_no", pa.int32())])
@@ -39,44 +42,54 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def lines(buf: np.ndarray, off: np.ndarray, leading: int, min_literals: int) -> tuple[np.ndarray, ...]:
+def lines(buf: np.ndarray, off: np.ndarray, leading: int, min_literals: int, exact: bool) -> tuple[np.ndarray, ...]:
     """(row, number in its row, leaf, hash, first token, tokens) of each line that may be dropped; and all token hashes."""
     start, end, before, h = T.word_hashes(buf, off, T.NONSPACE, lower=False)
     digits = np.zeros(len(buf) + 1, np.int32)
     np.cumsum(T.DIGIT[buf], out=digits[1:])
     field = digits[end] > digits[start]
-    h = np.where(field, _WILD, h)
+    raw, h = h, np.where(field, _WILD, h)
     newline = np.flatnonzero(buf == 10)
     n = len(off) - 1 + len(newline)
     line_of = T.rows_of(before) + np.searchsorted(newline, start)
     count = np.bincount(line_of, minlength=n)
     literal = count - np.bincount(line_of, field, minlength=n).astype(np.int64)
     first = np.cumsum(count) - count
-    some = np.flatnonzero((literal >= min_literals) & (2 * literal >= count))
+    rule = (literal >= min_literals) & (2 * literal >= count)
+    part = rule
+    if exact:
+        letters = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(_LETTER[buf], out=letters[1:])
+        part = rule | ((count > 0) & ((literal == count) | (np.bincount(line_of, letters[end] > letters[start], minlength=n) > 0)))
+    some = np.flatnonzero(part)
     count, first = count[some], first[some]
     begin = np.arange(len(off) - 1) + np.searchsorted(newline, off[:-1])  # the first line of each row
     row = np.searchsorted(begin, some, "right") - 1
     lead = T.sequence_hash(h, first, np.minimum(count, leading))
-    return row, some - begin[row], T.mix(lead + count.astype(T.U64)), T.sequence_hash(h, first, count), first, count, h
+    leaf, line = T.mix(lead + count.astype(T.U64)), T.sequence_hash(h, first, count)
+    own = np.flatnonzero(~rule[some])  # equal lines are a leaf of their own
+    line[own] = T.sequence_hash(raw, first[own], count[own])
+    leaf[own] = T.mix(line[own] ^ _EXACT)
+    return row, some - begin[row], leaf, line, first, count, h
 
 
-def _places(leading: int, min_literals: int) -> Callable:
+def _places(leading: int, min_literals: int, exact: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for i, _, buf, off in T.text_blocks(b.column(1)):
-                row, no, _, line, *_ = lines(buf, off, leading, min_literals)
+                row, no, _, line, *_ = lines(buf, off, leading, min_literals, exact)
                 yield T.batch(_PLACES, line=T.signed(line), doc=ids[i + row], no=no.astype(np.int32))
 
     return run
 
 
-def _distinct(leading: int, min_literals: int) -> Callable:
+def _distinct(leading: int, min_literals: int, exact: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, parts, codes = b.column(0).to_numpy(), [], []
             for i, _, buf, off in T.text_blocks(b.column(1)):
-                row, no, leaf, line, first, count, h = lines(buf, off, leading, min_literals)
+                row, no, leaf, line, first, count, h = lines(buf, off, leading, min_literals, exact)
                 u, at, inv = np.unique(line, return_index=True, return_inverse=True)
                 doc = ids[i + row]
                 order = np.lexsort((no, doc, inv))
@@ -182,23 +195,24 @@ def _binary(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bufs[2], np.uint8), ends
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS) -> DataFrame:
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, exact: bool = False) -> DataFrame:
     """(doc, no): every line to drop, by doc_id and 0-based number; see ``drop_recurring_lines``."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    distinct = rows.mapInArrow(_distinct(leading, min_literals), ddl(_DISTINCT))
+    distinct = rows.mapInArrow(_distinct(leading, min_literals, exact), ddl(_DISTINCT))
     recurring = distinct.repartition("leaf").sortWithinPartitions("leaf", "doc", "no", "line").mapInArrow(_recurring(leading, similarity), ddl(_RECURRING))
-    places = rows.mapInArrow(_places(leading, min_literals), ddl(_PLACES))
+    places = rows.mapInArrow(_places(leading, min_literals, exact), ddl(_PLACES))
     return places.join(recurring, "line").where("doc <> keep_doc OR no <> keep_no").select("doc", "no")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, count_col: str | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, count_col: str | None = None, exact: bool = False) -> DataFrame:
     """``docs`` with the recurring lines taken out of their texts (lines end at a newline); all other columns as they are.
 
     Null and empty texts, and rows without a doc_id, come back unchanged. Rows that repeat a doc_id are one document: its
     lines count once and are dropped from each of its rows. A text that loses all its lines becomes empty. ``count_col``
-    names a column for the number of lines dropped, which must not be one of ``docs``. An empty table stays empty.
+    names a column for the number of lines dropped, which must not be one of ``docs``. With ``exact`` short lines and lines
+    of mostly variable fields go too, where equal ones recur. An empty table stays empty.
     """
-    drops = recurring_lines(docs, id_col, text_col, leading, similarity, min_literals).groupBy("doc").agg(F.collect_set("no").alias("__ld_nos")).withColumnRenamed("doc", "__ld_id")
+    drops = recurring_lines(docs, id_col, text_col, leading, similarity, min_literals, exact).groupBy("doc").agg(F.collect_set("no").alias("__ld_nos")).withColumnRenamed("doc", "__ld_id")
     joined = docs.join(drops, F.col(id_col).cast("long") == F.col("__ld_id"), "left")
     kept = "array_except(sequence(0, size(__ld_lines) - 1), __ld_nos)"
     cut = joined.withColumn("__ld_lines", F.when(F.col("__ld_nos").isNotNull(), F.split(F.col(text_col), "\n", -1)))

@@ -13,7 +13,7 @@ from .textcore import load
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without recurring lines, and how many lines each lost."""
-    out = line_dedup.drop_recurring_lines(load(spark, sf_dir, "documents"), count_col="lines_dropped")
+    out = line_dedup.drop_recurring_lines(load(spark, sf_dir, "documents"), count_col="lines_dropped", exact=True)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
