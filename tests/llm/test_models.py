@@ -178,6 +178,16 @@ def test_personal_data_is_found(text, kind, value):
         assert [(k, (pad + text)[s:e]) for s, e, k in pii.find(pad + text, a)] == [(kind, value)]
 
 
+@pytest.mark.parametrize("cue", [*pii.ACCOUNT_CUES, *pii.PHONE_CUES])
+def test_cues_are_found_in_any_case(cue):
+    a, kind = pii._automaton(), "phone" if cue in pii.PHONE_CUES else "account"
+    mixed = "".join(c.upper() if i % 2 else c for i, c in enumerate(cue))
+    for form in (cue, cue.capitalize(), cue.title(), cue.upper(), mixed, cue[:-2] + cue[-2:].upper()):
+        for pad in ("", "İ ñ ẞ "):  # the first grows in lower case
+            t = f"{pad}{form}: 12345678."
+            assert [(k, t[s:e]) for s, e, k in pii.find(t, a)] == [(kind, "12345678")], form
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_clean_text_is_left_alone(text):
     assert pii.find(text, pii._automaton()) == []

@@ -1,7 +1,7 @@
 """Personal data by anchor expansion: Aho-Corasick finds anchors, local parsers expand and validate around them.
 
 Anchors are at-signs, ``://``, ``+`` or ``.`` before a digit, three digits in a row, and cue words (account, IBAN, phone
-and the like in four languages). Parsers are deterministic and look only at the characters around their anchor:
+and the like in four languages, in any mix of cases). Parsers are deterministic and look only at the characters around their anchor:
 
 * ``email`` - local part to the left, labelled domain to the right, a last label of two letters or more;
 * ``url`` - scheme to the left, host and path to the right, closing punctuation left out;
@@ -202,8 +202,7 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(f"{k:03d}", ("digits", 3))
     for kind, words in (("phone", PHONE_CUES), ("account", ACCOUNT_CUES), ("iban", IBAN_CUES)):
         for w in words:
-            for form in {w, w.capitalize(), w.upper()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -239,11 +238,17 @@ def resolve(found: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def folded(text: str) -> str:
+    """``text`` in lower case, character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal data in one text."""
     found: set[tuple[int, int, str]] = set()
     dotted = linked = -1
-    for last, (what, size) in automaton.iter(text):
+    for last, (what, size) in automaton.iter(folded(text)):
         begin = last + 1 - size
         if what == "dot":  # the dots of one number expand alike
             if begin < dotted:
