@@ -143,6 +143,25 @@ def test_no_match_escapes_its_trigrams(rx):
         assert not re.search(rx, t, re.ASCII) or secrets._rows(query, posted, 1)[0]
 
 
+LONG = [
+    ("json_web_token", "eyJ" + "a1" * 300 + ".eyJ" + "b2" * 900 + "." + "c3" * 900),
+    ("url_credentials", "https://" + "u" * 90 + ":" + "p" * 90 + "@"),
+    ("assigned_secret", "token=" + "v1" * 250),
+    ("slack_token", "xoxb-" + "1a" * 60),
+    ("stripe_key", "sk_live_" + "9z" * 60),
+    *(("assigned_secret", t) for t in ("DB_PASSWORD=hunter2hunter2", "client_secret: hunter2hunter2", "aws_secret_access_key        = hunter2hunter2", "my-api-key='hunter2hunter2", "_a-password=hunter2hunter2", "password=hunter2hunter2")),
+]
+
+
+@pytest.mark.parametrize("rule,secret", LONG)
+def test_long_secrets_and_prefixed_names_are_whole(spark, rule, secret):
+    scanner = secrets.Scanner(secrets.RULES)
+    for text in (secret, f"--- {secret} ---", f"é{'x-' * 50_000} {secret}"):
+        b = text.encode()
+        hits = scanner.block(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        assert (rule, secret) in {(h[1], h[4]) for h in hits}
+
+
 def test_rules_without_trigrams_scan_fully():
     assert secrets.trigram_query(r"\b(?:[0-9a-f]{40}|[0-9a-f]{64})\b") is True and secrets.trigram_query(r"ab") is True
     assert secrets.trigram_query(r"abcd") == ("and", frozenset({b"abc", b"bcd"}))
