@@ -3,7 +3,8 @@
 Anchors are at-signs, ``://``, ``+`` or ``.`` before a digit, three digits in a row, and cue words (account, IBAN, phone
 and the like in four languages, in any mix of cases). Parsers are deterministic and look only at the characters around their anchor:
 
-* ``email`` - local part to the left, labelled domain to the right, a last label of two letters or more;
+* ``email`` - local part to the left, labelled domain to the right, a last label of two letters or more; accented, Greek and
+  Cyrillic letters count as letters in both;
 * ``url`` - scheme to the left, host and path to the right, closing punctuation left out;
 * ``ip_address`` - four numbers up to 255, not part of a longer dotted number;
 * ``phone`` - ``+`` and country code, groups of digits in usual separators, 8 to 15 digits (11 after +1), or 7 to 15 digits
@@ -57,9 +58,18 @@ def _back(text: str, at: int, allowed: frozenset[str]) -> int:
     return at
 
 
+def _foreign(c: str) -> bool:
+    """A letter, digit or accent beyond ASCII, of a script that puts spaces between words."""
+    return ("\x7f" < c < "\u0590" or "\u1e00" <= c < "\u2000") and (c.isalnum() or "\u0300" <= c < "\u0370")
+
+
 def email(text: str, at: int) -> Span | None:
     """``at`` is the place of an at-sign."""
-    begin, end = _back(text, at, _LOCAL), _run(text, at + 1, _HOST)
+    begin, end = at, at + 1
+    while begin and (text[begin - 1] in _LOCAL or _foreign(text[begin - 1])):
+        begin -= 1
+    while end < len(text) and (text[end] in _HOST or _foreign(text[end])):
+        end += 1
     while begin < at and text[begin] in ".-+%":
         begin += 1
     while end > at + 1 and text[end - 1] in ".-":
@@ -72,13 +82,20 @@ def email(text: str, at: int) -> Span | None:
     return (begin, end) if good and local and ".." not in local and local[-1] != "." else None
 
 
-def url(text: str, at: int) -> Span | None:
-    """``at`` is the place of ``://``."""
-    begin, end = _back(text, at, _SCHEME), _run(text, at + 3, _URL)
+def url_end(text: str, at: int) -> tuple[int, int]:
+    """Ends of the URL characters from ``at`` on, without the closing punctuation and with it; all anchors between have the same."""
+    stop = _run(text, at, _URL)
+    end = stop
+    while end > at and text[end - 1] in ".,;:!?'()[]*":
+        end -= 1
+    return end, stop
+
+
+def url(text: str, at: int, end: int) -> Span | None:
+    """``at`` is the place of ``://``, ``end`` is by ``url_end``."""
+    begin = _back(text, at, _SCHEME)
     while begin < at and not text[begin].isalpha():
         begin += 1
-    while end > at + 3 and text[end - 1] in ".,;:!?'()[]*":
-        end -= 1
     return (begin, end) if at - begin > 1 and end > at + 3 and text[at + 3] in _ALNUM else None
 
 
@@ -210,8 +227,6 @@ def _automaton() -> ahocorasick.Automaton:
 def _expand(text: str, what: str, begin: int, end: int) -> Iterator[tuple[str, Span | None]]:
     if what == "sign":
         yield "email", email(text, begin)
-    elif what == "scheme":
-        yield "url", url(text, begin)
     elif what == "dot":
         yield "ip_address", ip_address(text, begin)
     elif what == "plus":
@@ -247,19 +262,25 @@ def folded(text: str) -> str:
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal data in one text."""
     found: set[tuple[int, int, str]] = set()
-    dotted = linked = -1
+    dotted = linked = reach = end = -1
     for last, (what, size) in automaton.iter(folded(text)):
         begin = last + 1 - size
         if what == "dot":  # the dots of one number expand alike
             if begin < dotted:
                 continue
             dotted = _run(text, begin, _DIGITS | {"."})
-        if what == "scheme" and begin < linked:  # within a URL already
+        if what == "scheme":
+            if begin < linked:  # within a URL already
+                continue
+            if last >= reach:
+                end, reach = url_end(text, last + 1)
+            span = url(text, begin, end)
+            if span:
+                linked = span[1]
+                found.add((span[0], span[1], "url"))
             continue
         for kind, span in _expand(text, what, begin, last + 1):
             if span:
-                if kind == "url":
-                    linked = span[1]
                 found.add((span[0], span[1], kind))
     return resolve(found) if found else []
 

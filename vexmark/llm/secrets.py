@@ -38,13 +38,9 @@ RULES: dict[str, str] = {
     "assigned_secret": r"\b(?<![0-9A-Za-z_]-)(?:(?=[0-9A-Za-z_])[0-9A-Za-z_-]*[_-])?(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)(?:[_-][0-9A-Za-z_-]*)?[\"']?[ \t]*[:=][ \t]*[\"']?[0-9A-Za-z+/_.=-]{8,}",
     "bare_hex_key": r"\b(?:[0-9a-f]{40}|[0-9a-f]{64})\b",
 }
-#: The rules of the DuckDB SQL, which is left as it was: RE2 agrees on them, but they miss long secrets and prefixed names.
+#: The same for RE2, which knows no looking around: a name's beginning is then found from the left alone, in quadratic time.
 SQL_RULES: dict[str, str] = RULES | {
-    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,72}",
-    "stripe_key": r"\b[rs]k_live_[0-9A-Za-z]{20,64}\b",
-    "json_web_token": r"\beyJ[0-9A-Za-z_-]{10,200}\.eyJ[0-9A-Za-z_-]{10,800}\.[0-9A-Za-z_-]{10,800}",
-    "url_credentials": r"\b[a-z][a-z0-9+.-]{1,20}://[0-9A-Za-z._%+-]{1,64}:[0-9A-Za-z._%+!*-]{1,64}@",
-    "assigned_secret": r"\b(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?[0-9A-Za-z+/_.=-]{8,200}",
+    "assigned_secret": RULES["assigned_secret"].replace("(?<![0-9A-Za-z_]-)(?:(?=[0-9A-Za-z_])[0-9A-Za-z_-]*[_-])?", "(?:[0-9A-Za-z_][0-9A-Za-z_-]*[_-]|_)?", 1),
 }
 MANY, _HITS = 64, pa.schema([("doc_id", pa.int64()), ("rule", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())])
 
@@ -147,7 +143,7 @@ def _info(seq: list) -> Info:
         elif op is sre.IN:
             part = _exact(m) if (m := _members(arg)) is not None and len(m) <= 8 else _ANY
         elif op is sre.SUBPATTERN:
-            part = _info(arg[3])
+            part = _ANY if arg[1] & re.IGNORECASE else _info(arg[3])  # any case: no trigram is mandatory
         elif op is sre.BRANCH:
             infos = [_info(b) for b in arg[1]]
             part = infos[0]
