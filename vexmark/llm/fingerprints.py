@@ -192,30 +192,38 @@ def digests(docs: DataFrame, counts: np.ndarray | None = None, id_col: str = "do
     return _digests(docs, class_counts(docs, text_col) if counts is None else counts, id_col, text_col).drop("keys")
 
 
-def one_way(x: np.ndarray, y: np.ndarray) -> float:
-    """Mean by bits of the best overlap of each of x's filters with one of y's."""
-    a = np.bitwise_count(x).sum(axis=1, dtype=np.int64)[:, None]
-    b = np.bitwise_count(y).sum(axis=1, dtype=np.int64)[None, :]
-    both = np.bitwise_count(x[:, None, :] & y[None, :, :]).sum(axis=2, dtype=np.int64)
+def _overlaps(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap of each of x's filters, rows of bits of which a are set, with each of y's."""
+    a, b = a[:, None], b[None, :]
     chance = a * b / FILTER_BITS
-    best = np.clip((both - chance) / np.maximum(np.maximum(a, b) - chance, 1e-9), 0, 1).max(axis=1)
-    return float((best * a[:, 0]).sum() / a.sum())
+    return np.clip(((x @ y.T) - chance) / np.maximum(np.maximum(a, b) - chance, 1e-9), 0, 1)
 
 
 def similarity(x: bytes, y: bytes) -> float:
-    """Similarity of two digests; 0 if one has no filter."""
+    """Similarity of two digests, some of their filters at a time; 0 if one has no filter."""
     if not x or not y:
         return 0.0
-    f, g = (np.frombuffer(d, np.uint64).reshape(-1, _BYTES // 8) for d in (x, y))
-    return min(one_way(f, g), one_way(g, f))
+    f, g = (np.frombuffer(d, np.uint8).reshape(-1, _BYTES) for d in (x, y))
+    a, b = (np.bitwise_count(p).sum(axis=1, dtype=np.int64).astype(np.float64) for p in (f, g))
+    best_f, best_g = np.zeros(len(f)), np.zeros(len(g))
+    for i in range(0, len(f), TILE):
+        u = np.unpackbits(f[i : i + TILE], axis=1).astype(np.float32)
+        for j in range(0, len(g), TILE):
+            s = _overlaps(u, np.unpackbits(g[j : j + TILE], axis=1).astype(np.float32), a[i : i + TILE], b[j : j + TILE])
+            np.maximum(best_f[i : i + TILE], s.max(axis=1), out=best_f[i : i + TILE])
+            np.maximum(best_g[j : j + TILE], s.max(axis=0), out=best_g[j : j + TILE])
+    return float(min((best_f * a).sum() / a.sum(), (best_g * b).sum() / b.sum()))
 
 
 class Chains:
     """Some digests' filters, for ``similarities``."""
 
     def __init__(self, digests: list[bytes]) -> None:
+        self.digests = digests
         size = np.array([len(d) for d in digests]) // _BYTES
-        self.first = np.cumsum(size) - size
+        self.first, self.long = np.cumsum(size) - size, int(size.sum()) > TILE  # then it is one digest
+        if self.long:
+            return
         self.bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, _BYTES), axis=1).astype(np.float32)
         self.ones = self.bits.sum(axis=1).astype(np.float64)
         self.total = np.add.reduceat(self.ones, self.first)
@@ -223,9 +231,9 @@ class Chains:
 
 def similarities(x: Chains, y: Chains) -> np.ndarray:
     """``similarity`` of each of x's digests with each of y's."""
-    a, b = x.ones[:, None], y.ones[None, :]
-    chance = a * b / FILTER_BITS
-    best = np.clip(((x.bits @ y.bits.T) - chance) / np.maximum(np.maximum(a, b) - chance, 1e-9), 0, 1)
+    if x.long or y.long:
+        return np.array([[similarity(d, e) for e in y.digests] for d in x.digests])
+    best, a, b = _overlaps(x.bits, y.bits, x.ones, y.ones), x.ones[:, None], y.ones[None, :]
     if best.shape == (len(x.first), len(y.first)):  # one filter each
         return best
     there = np.add.reduceat(np.maximum.reduceat(best, y.first, axis=1) * a, x.first, axis=0) / x.total[:, None]
