@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from . import textcore as T
 from .line_dedup import ddl
 
 CAPACITY, SHARD_DOCS = 2048, 2048
-_LENGTHS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+_LENGTHS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("deal", pa.int64())])
 _BINS = pa.schema([("bin_id", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 _SIGN = T.NONSPACE & ~T.WORD
 
@@ -51,7 +52,10 @@ def _lengths(tokenizer_path: str | None):
                     n = np.array([len(e) for e in tok.encode_batch(texts, add_special_tokens=False)], np.int64)
                 else:
                     n = count_tokens(buf, off)
-                yield T.batch(_LENGTHS, doc_id=b.column(0).slice(i, j - i), n_tokens=n)
+                ids = b.column(0).slice(i, j - i)
+                # rows without an id are dealt by text and place, so many of them spread
+                place = T.signed(T.mix(T.span_hash(T.prefix_hash(buf), off[:-1], off[1:]) + np.arange(j - i).astype(T.U64)))
+                yield T.batch(_LENGTHS, doc_id=ids, n_tokens=n, deal=pc.coalesce(ids, pa.array(place)))
 
     return run
 
@@ -170,31 +174,35 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[list[list[int]], list[list[int]], list[list[int]]]:
-    """(ids, starts, lengths) of each bin of one shard."""
+    """(documents by their place in ``ids``, starts, lengths) of each bin of one shard."""
     order = np.lexsort((ids, -lengths))
-    ids, lengths = ids[order], lengths[order]
-    full = lengths // capacity
-    out_ids = [[int(i)] for i in np.repeat(ids, full)]
+    full = lengths[order] // capacity
+    who = np.repeat(order, full)
+    out_docs = [[int(i)] for i in who]
     out_starts = [[int(s) * capacity] for s in np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full)]
-    out_lengths = [[capacity]] * len(out_ids)
-    rest = lengths - full * capacity
+    out_lengths = [[capacity]] * len(out_docs)
+    rest = lengths % capacity
     keep = np.flatnonzero(rest)
     keep = keep[np.lexsort((ids[keep], -rest[keep]))]
-    sizes, owner, begin = rest[keep].tolist(), ids[keep].tolist(), (full[keep] * capacity).tolist()
+    sizes, owner, begin = rest[keep].tolist(), keep.tolist(), (lengths[keep] - rest[keep]).tolist()
     for b in improve(best_fit(sizes, capacity), sizes, capacity):
-        out_ids.append([owner[i] for i in b])
+        out_docs.append([owner[i] for i in b])
         out_starts.append([begin[i] for i in b])
         out_lengths.append([sizes[i] for i in b])
-    return out_ids, out_starts, out_lengths
+    return out_docs, out_starts, out_lengths
 
 
 def _shards(capacity: int):
-    def packed(shard: int, ids: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
-        i, s, n = pack(np.concatenate(ids), np.concatenate(lengths), capacity)
-        return T.batch(_BINS, bin_id=(shard << 32) + np.arange(len(i), dtype=np.int64), n_tokens=[sum(x) for x in n], doc_ids=i, starts=s, lengths=n)
+    def packed(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([b.column(1) for b in held])
+        lengths = np.concatenate([b.column(2).to_numpy() for b in held])
+        d, s, n = pack(pc.fill_null(ids, 0).to_numpy(), lengths, capacity)
+        ends = np.cumsum([0, *(len(x) for x in d)]).astype(np.int32)
+        doc_ids = pa.ListArray.from_arrays(pa.array(ends), ids.take(pa.array([i for x in d for i in x], pa.int64())))
+        return T.batch(_BINS, bin_id=(shard << 32) + np.arange(len(d), dtype=np.int64), n_tokens=[sum(x) for x in n], doc_ids=doc_ids, starts=s, lengths=n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, lengths = None, [], []
+        now, held = None, []
         for b in batches:
             shard = b.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
@@ -202,13 +210,12 @@ def _shards(capacity: int):
                 if x == y:
                     continue
                 if now is not None and now != shard[x]:
-                    yield packed(now, ids, lengths)
-                    ids, lengths = [], []
+                    yield packed(now, held)
+                    held = []
                 now = int(shard[x])
-                ids.append(b.column(1).to_numpy()[x:y])
-                lengths.append(b.column(2).to_numpy()[x:y])
+                held.append(b.slice(x, y - x))
         if now is not None:
-            yield packed(now, ids, lengths)
+            yield packed(now, held)
 
     return run
 
@@ -216,12 +223,12 @@ def _shards(capacity: int):
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bin_id, n_tokens, doc_ids, starts, lengths): the training sequences, with their pieces' documents and token spans.
 
-    Every token of every row with an id is in exactly one bin; no bin exceeds ``capacity``. Null, empty and blank texts have
-    no tokens and are in no bin; rows without an id are left out. Repeated rows are packed each. Other columns are not
-    read. An empty table gives no bins.
+    Every token of every row is in exactly one bin; no bin exceeds ``capacity``. Null, empty and blank texts have no tokens
+    and are in no bin; a row without an id is packed as any other, with a null in ``doc_ids``. Repeated rows are packed each.
+    Other columns are not read. An empty table gives no bins.
     """
     shards = max(1, -(-docs.count() // shard_docs))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lengths = rows.mapInArrow(_lengths(tokenizer_path), ddl(_LENGTHS)).where("n_tokens > 0")
-    dealt = lengths.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "n_tokens").repartition("shard").sortWithinPartitions("shard", "doc_id")
+    dealt = lengths.select(F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard"), "doc_id", "n_tokens").repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens")
     return dealt.mapInArrow(_shards(capacity), "bin_id long, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>")
