@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from . import textcore as T
 
 LEADING, SIMILARITY, MIN_LITERALS = 3, 0.7, 3
+SMALL_LEAF = 256
 _WILD, _EXACT = T.U64(0x5851F42D4C957F2D), T.U64(0x2545F4914F6CDD1D)
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _DISTINCT = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("doc", pa.int64()), ("no", pa.int32()), ("last_doc", pa.int64()), ("codes", pa.binary())])
@@ -122,16 +123,30 @@ def grow(codes: np.ndarray, leading: int, similarity: float) -> np.ndarray:
     if width <= leading:
         return out
     text, wild, made = np.empty_like(rest), np.zeros(rest.shape, bool), 0
+    span = width - leading
+    least = int(np.ceil(similarity * span - 1e-9))
+    # a template that agrees in ``least`` places agrees in one of any span - least + 1, so the places whose codes are rarest are looked up
+    index: list[dict[int, list[int]]] | None = [{} for _ in range(span)] if n > SMALL_LEAF and least > 0 else None
     for k in range(n):
         if made:
-            same = (text[:made] == rest[k]) & ~wild[:made]
+            if index is None:
+                at = None
+                same = (text[:made] == rest[k]) & ~wild[:made]
+            else:
+                lists = sorted((place.get(c, ()) for place, c in zip(index, rest[k].tolist(), strict=True)), key=len)[: span - least + 1]
+                at = np.unique(np.concatenate([np.array(x, np.int64) for x in lists]))
+                same = (text[at] == rest[k]) & ~wild[at]
             agree = same.sum(axis=1)
-            best = int(agree.argmax())
-            if agree[best] >= similarity * (width - leading):
-                wild[best] |= ~same[best]
-                out[k] = best
+            best = int(agree.argmax()) if len(agree) else 0
+            if len(agree) and agree[best] >= similarity * span:
+                t = best if at is None else int(at[best])
+                wild[t] |= ~same[best]
+                out[k] = t
                 continue
         text[made] = rest[k]
+        if index is not None:
+            for place, c in zip(index, rest[k].tolist(), strict=True):
+                place.setdefault(c, []).append(made)
         out[k] = made
         made += 1
     return out
@@ -212,13 +227,12 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names a column for the number of lines dropped, which must not be one of ``docs``. With ``exact`` short lines and lines
     of mostly variable fields go too, where equal ones recur. An empty table stays empty.
     """
-    drops = recurring_lines(docs, id_col, text_col, leading, similarity, min_literals, exact).groupBy("doc").agg(F.collect_set("no").alias("__ld_nos")).withColumnRenamed("doc", "__ld_id")
-    joined = docs.join(drops, F.col(id_col).cast("long") == F.col("__ld_id"), "left")
-    kept = "array_except(sequence(0, size(__ld_lines) - 1), __ld_nos)"
-    cut = joined.withColumn("__ld_lines", F.when(F.col("__ld_nos").isNotNull(), F.split(F.col(text_col), "\n", -1)))
-    text = F.coalesce(F.expr(f"array_join(transform({kept}, i -> __ld_lines[i]), '\n')"), F.col(text_col))
-    out = cut.withColumn(text_col, text)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    doc, nos, parts = T.unused(docs, "__doc", "__nos", "__lines")
+    drops = recurring_lines(docs, id_col, text_col, leading, similarity, min_literals, exact).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("no").alias(nos))
+    joined = docs.join(drops, F.col(id_col).cast("long") == F.col(doc), "left")
+    cut = joined.withColumn(parts, F.when(F.col(nos).isNotNull(), F.split(F.col(text_col), "\n", -1)))
+    text = F.expr(f"array_join(transform(array_except(sequence(0, size({parts}) - 1), {nos}), i -> {parts}[i]), '\n')")
+    cols = [F.coalesce(text, F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if count_col is not None:
-        cols.append(F.when(F.col("__ld_nos").isNull(), 0).otherwise(F.size("__ld_nos")).alias(count_col))
-    return out.select(*cols)
+        cols.append(F.when(F.col(nos).isNull(), 0).otherwise(F.size(nos)).alias(count_col))
+    return cut.select(*cols)
