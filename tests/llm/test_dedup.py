@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,14 @@ def frame(spark, texts, ids=None):
 
 def odd(spark):
     """Nulls everywhere, empty, blank and long texts, and repeated rows."""
-    long = " ".join(words(random.Random(9), 60_000))
+    long = " ".join(words(random.Random(9), 150_000))
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (4, long, "en", "s", 1), (4, long, "en", "s", 1), (None, "no id at all here", None, "s", 2), (5, "é🙂 ñ", "es", "s", 3)]
     return spark.createDataFrame(rows, DOCS)
 
 
 def clashing(docs):
     """Extra columns with names that a join or a rename could trip over."""
-    return docs.selectExpr("*", "doc_id AS node", "text AS root", "1 AS group_id", "'x' AS line", "2 AS doc", "3 AS row", "4 AS `a.b`", "5 AS key", "6 AS no")
+    return docs.selectExpr("*", "doc_id AS node", "text AS root", "1 AS group_id", "'x' AS line", "2 AS doc", "3 AS row", "4 AS `a.b`", "5 AS key", "6 AS no", "7 AS __doc", "8 AS __nos", "9 AS gone", "10 AS keep", "11 AS __gone")
 
 
 # -- line dedup --------------------------------------------------------------------------------------------------------
@@ -95,6 +97,27 @@ def test_lines_match_brute_force(spark):
     assert got == brute_lines(plain) and got != plain
 
 
+@pytest.mark.parametrize("similarity", [0.3, 0.7, 1.0])
+def test_a_large_leaf_grows_as_a_small_one(monkeypatch, similarity):
+    rng = np.random.default_rng(8)
+    for width in (3, 4, 5, 9, 20):
+        base = rng.integers(0, 30, (40, width)).astype(np.uint16)
+        codes = base[rng.integers(0, 40, 900)]
+        change = rng.random(codes.shape) < 0.25
+        codes[change] = rng.integers(0, 30, int(change.sum()))
+        made = line_dedup.grow(codes, 3, similarity)
+        monkeypatch.setattr(line_dedup, "SMALL_LEAF", 10**9)
+        assert (made == line_dedup.grow(codes, 3, similarity)).all()
+        monkeypatch.undo()
+
+
+def test_a_leaf_of_many_templates_takes_near_linear_time():
+    codes = np.random.default_rng(2).integers(0, 60_000, (40_000, 12)).astype(np.uint16)
+    begun = time.process_time()
+    made = line_dedup.grow(codes, 3, 0.7)
+    assert time.process_time() - begun < 20 and len(set(made.tolist())) > 39_000
+
+
 def test_long_passages_go_but_for_the_first(spark):
     rng = random.Random(5)
     passage = " ".join("abcdefghij"[rng.randrange(10)] * 3 + "klmnop"[rng.randrange(6)] for _ in range(55))
@@ -128,8 +151,8 @@ def test_lines_that_recur_exactly_go_from_the_queries(spark, sf):
 
 def test_lines_corner_cases(spark):
     docs = clashing(odd(spark))
-    got = line_dedup.drop_recurring_lines(docs, count_col="gone")
-    assert got.columns == [*docs.columns, "gone"] and got.count() == 7
+    got = line_dedup.drop_recurring_lines(docs, count_col="lost")
+    assert got.columns == [*docs.columns, "lost"] and got.count() == 7
     assert {(r.doc_id, r.text) for r in got.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
     assert line_dedup.drop_recurring_lines(docs.limit(0)).count() == 0
 
@@ -180,6 +203,41 @@ def test_close_pairs_share_a_block():
         assert (a == b).any(axis=1).all()
 
 
+@pytest.mark.parametrize("width", [16, 24])
+def test_nine_tenths_of_the_furthest_pairs_share_a_block(width):
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (4000, 256), dtype=np.uint8)
+    flip = np.zeros_like(bits)
+    np.put_along_axis(flip, np.argsort(rng.random(bits.shape), axis=1)[:, : simhash.MAX_DISTANCE], 1, axis=1)
+    a, b = (simhash.block_keys(np.packbits(x, axis=1).view(np.int64), width) for x in (bits, bits ^ flip))
+    assert (a == b).any(axis=1).mean() > 0.89
+
+
+def test_wide_blocks_give_the_same_groups(spark):
+    df = frame(spark, near_copies(random.Random(6))[0])
+    assert sorted(simhash.near_duplicate_groups(df, wide=0).collect()) == sorted(simhash.near_duplicate_groups(df).collect())
+
+
+def test_large_buckets_connect_the_same_rows():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (12, 32), dtype=np.uint8)
+    bits = np.unpackbits(base[rng.integers(0, 12, 1500) ** 2 % 12], axis=1)
+    bits ^= (rng.random(bits.shape) < 0.08).astype(np.uint8)
+    words_ = np.packbits(bits, axis=1).view(np.int64)
+    key, node = np.sort(rng.integers(0, 3, 1500)), np.arange(1500)
+    sets = []
+    for large in (10, 10**9):
+        label = np.arange(1500)
+        simhash._roots(label, *simhash._bucket_edges(key, node, words_, 40, large))
+        sets.append(label.tolist())
+    assert sets[0] == sets[1] and 12 < len(set(sets[0])) < 700
+    crowd = np.repeat(words_[:1], 60_000, axis=0)
+    crowd[:, 0] ^= rng.integers(0, 2**20, 60_000)
+    begun = time.process_time()
+    assert len(simhash._bucket_edges(np.zeros(60_000, int), np.arange(60_000), crowd, 40)[0]) == 59_999
+    assert time.process_time() - begun < 10
+
+
 def test_many_equal_copies_and_ties(spark):
     df = frame(spark, ["the same short text again"] * 300, [i // 2 for i in range(300)])
     got = simhash.near_duplicate_groups(df).collect()
@@ -312,6 +370,20 @@ def test_chains_of_filters():
     assert fingerprints.similarity(f.tobytes(), f[:1].tobytes()) < 0.6 and fingerprints.similarity(f.tobytes(), b"") == 0
 
 
+def test_long_chains_compare_in_pieces():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 400_000).astype(np.uint64)
+    f = fingerprints.filters(np.zeros(400_000, int), h, 1)[0].tobytes()
+    g = fingerprints.filters(np.zeros(200_000, int), h[:200_000], 1)[0].tobytes()
+    small = [f[:512], g[256:2048]]
+    tracemalloc.start()
+    got = fingerprints.similarities(fingerprints.Chains([f]), fingerprints.Chains([g]))
+    assert got.shape == (1, 1) and 0.4 < got[0, 0] < 0.6 and tracemalloc.get_traced_memory()[1] < 3e8
+    tracemalloc.stop()
+    many = fingerprints.similarities(fingerprints.Chains(small), fingerprints.Chains(small[::-1]))
+    assert np.allclose(many, [[fingerprints.similarity(a, b) for b in small[::-1]] for a in small])
+
+
 def test_fingerprint_corner_cases(spark):
     docs = clashing(odd(spark))
     got = fingerprints.fingerprint(docs)
@@ -367,12 +439,40 @@ def test_tiling_matches_brute_force(spark):
         assert got == want and len(want) > 10
 
 
+def test_tiling_of_repetitive_texts_matches_brute_force():
+    rng = random.Random(17)
+    for _ in range(150):
+        items = [[rng.choice("ab") for _ in range(rng.randrange(1, 12))] for _ in range(3)]
+        docs = [[rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(0, 25))] for _ in range(4)]
+        made = decontam.Items(np.arange(3), pa.array([" ".join(t) for t in items]), 3)
+        buf, off = T.utf8(pa.array([" ".join(t) for t in docs]))
+        want = [(d, i, n) for d, t in enumerate(docs) for i, it in enumerate(items) if (n := brute_tiles(it, t, 3)) >= 0.4 * len(it) and n]
+        assert decontam.covered(made, buf, off, 0.4) == want
+
+
+@pytest.mark.parametrize("item,doc", [(["a"] * 500, ["a"] * 1_500_000), (["a", "b"] * 250, ["a", "b"] * 700_000), (["a"] * 5, ["a"] * 1_200_000), (["a"] * 100, ["b", *["a"] * 9] * 30_000)])
+def test_millions_of_equal_tokens_take_little_memory(item, doc):
+    tracemalloc.start()
+    made = decontam.Items(np.arange(1), pa.array([" ".join(item)]), 5)
+    buf, off = T.utf8(pa.array([" ".join(doc)]))
+    got = decontam.covered(made, buf, off, 0.5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 0, len(item) - (len(item) == 100))] and most < 1e9
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    docs = frame(spark, ["one two three four five", "one two three four five", "fine", None, "fine too"], [None, 1, 1, 2, None])
+    bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    assert sorted(str(r.text) for r in decontam.drop_contaminated(docs, bench).collect()) == ["None", "fine", "fine too"]
+
+
 def test_decontamination_corner_cases(spark):
     docs = clashing(odd(spark))
     bench = spark.createDataFrame([(1, "no id at all here", 5), (None, "x y z", 6), (2, None, 7), (3, "", 8), (4, "...", 9)], "item_id long, text string, doc_id long")
     assert [(r.doc_id, r.item_id, r.covered) for r in decontam.contaminated(docs, bench).collect()] == [(None, 1, 5)]
     kept = decontam.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == 7
+    assert kept.columns == docs.columns and kept.count() == 6
     for d, b in ((docs.limit(0), bench), (docs, bench.limit(0))):
         assert decontam.contaminated(d, b).count() == 0
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == 7

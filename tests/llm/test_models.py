@@ -105,7 +105,7 @@ def test_packing_corner_cases(spark):
     docs = clashing(odd(spark))
     got = packing.pack_documents(docs).collect()
     n = {d: sum(k for r in got for x, k in zip(r.doc_ids, r.lengths, strict=True) if x == d) for d in range(1, 6)}
-    assert n[1] == n[2] == n[3] == 0 and n[4] == 120_000 and n[5] > 0
+    assert n[1] == n[2] == n[3] == 0 and n[4] == 300_000 and n[5] > 0 and sum(k for r in got for x, k in zip(r.doc_ids, r.lengths, strict=True) if x is None) == 5
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 

@@ -216,10 +216,11 @@ def _identify(shared, schema: pa.Schema):
 
 def train(docs: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("__g_id"))
-    picked = known.orderBy(F.xxhash64("__g_id"), "__g_id").limit(max_labelled).distinct()
+    picked = known.distinct().orderBy(F.xxhash64("__g_id"), "__g_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("__d_id"), F.col(text_col).cast("string").alias("__d_text"), F.col(lang_col).cast("string").alias("__d_lang"))
-    got = rows.join(F.broadcast(picked), F.col("__d_id") == F.col("__g_id")).where("__d_lang IS NOT NULL").select("__d_id", "__d_lang", "__d_text")
-    table = got.toArrow().sort_by([("__d_id", "ascending"), ("__d_lang", "ascending"), ("__d_text", "ascending")])
+    got = rows.join(F.broadcast(picked), F.col("__d_id") == F.col("__g_id")).where("__d_lang IS NOT NULL")
+    one = got.groupBy("__d_id").agg(F.min(F.struct("__d_lang", "__d_text")).alias("d")).select("__d_id", "d.*")  # rows may repeat an id
+    table = one.toArrow().sort_by("__d_id")
     return fit(pa.array(table.column("__d_text").to_pylist(), pa.large_string()), table.column("__d_lang").to_pylist())
 
 

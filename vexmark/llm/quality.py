@@ -225,11 +225,14 @@ def fit(texts: pa.Array, labels: list[np.ndarray]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the labelled documents; quality 0 and toxic 1 are the positive classes, and a null label is unknown."""
+    """Fit on the labelled documents; quality 0 and toxic 1 are the positive classes, and a null label is unknown.
+
+    Of rows that repeat a doc_id the least text counts, so what the driver gets is bounded by ``max_labelled`` texts.
+    """
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__q_id")).agg(F.max(1 - F.col("quality")).alias("bad"), F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("__q_id"), "__q_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("__d_id"), F.col(text_col).cast("string").alias("__d_text"))
-    table = rows.join(F.broadcast(picked), F.col("__d_id") == F.col("__q_id")).select("__d_id", "__d_text", F.coalesce("bad", F.lit(-1)).cast("int").alias("bad"), F.coalesce("toxic", F.lit(-1)).cast("int").alias("toxic"))
+    table = rows.join(F.broadcast(picked), F.col("__d_id") == F.col("__q_id")).groupBy("__d_id").agg(F.min("__d_text").alias("__d_text"), F.coalesce(F.first("bad"), F.lit(-1)).cast("int").alias("bad"), F.coalesce(F.first("toxic"), F.lit(-1)).cast("int").alias("toxic"))
     got = table.toArrow().sort_by([("__d_id", "ascending"), ("__d_text", "ascending")]).combine_chunks()
     return fit(pa.chunked_array(got.column("__d_text")).combine_chunks(), [got.column(c).to_numpy() for c in ("bad", "toxic")])
 
