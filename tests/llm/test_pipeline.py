@@ -27,6 +27,15 @@ def test_stages_do_as_they_say(spark, sf):
     assert bad and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad
 
 
+def test_line_stage_drops_what_is_left_of_copies(spark, sf):
+    own = [f"{w} says a line of its own at {w} here" for w in ("alpha", "beta", "gamma", "delta", "eps", "zeta")]
+    texts = {1: own, 2: [*own[:5], "edited"], 3: ["Notice.", "short text"], 4: ["Notice."], 5: [*own[:4], *(f"new {w} text {w}{w}{w}{w}{w}{w}" for w in ("abcdefgh", "hgfedcba", "fedcbahg"))]}
+    rows = [(d, "\n".join(t), "x") for d, t in texts.items()] + [(6, None, None), (7, "", "y"), (None, own[0], "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines_lost string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_recurring_lines(spark, docs, sf).collect()}
+    assert got == {1: "\n".join(own), 3: "Notice.\nshort text", 5: "\n".join(texts[5][4:]), 6: None, 7: "", None: own[0]}
+
+
 def test_run_packs_what_the_stages_keep(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
