@@ -2,6 +2,7 @@
 
 import glob
 import itertools
+import math
 import os
 import random
 import re
@@ -11,7 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from test_dedup import clashing, frame, odd
+from test_dedup import clashing, frame, odd, words
 
 from vexmark.llm import langid, lm, packing, pii, quality, secrets
 from vexmark.llm import textcore as T
@@ -381,10 +382,142 @@ def test_probabilities_sum_to_one():
         assert p.sum() == pytest.approx(1, abs=1e-3)
 
 
+def naive_log_prob(weights, c, k, of_class, of_word):
+    """log p of one word, by sums over all 64 classes and the class's 64 words."""
+    out = 0.0
+    for target, rows in ((c, [0, *of_class]), (k, [lm.CLASS_ROWS + c, *(lm.CLASS_ROWS + r for r in of_word)])):
+        z = [sum(float(weights[r][j]) for r in rows) for j in range(lm.WIDTH)]
+        out += z[target] - math.log(sum(math.exp(x) for x in z))
+    return out
+
+
+def some_words(n=60):
+    rng = np.random.default_rng(12)
+    model = lm.fresh(rng.integers(0, 50, lm.BUCKETS))
+    model.weights += rng.normal(0, 0.2, model.weights.shape).astype(np.float32)
+    w, one, two = (rng.integers(0, 40, n).astype(np.uint32) * 61 % lm.VOCABULARY for _ in range(3))
+    return model, w, one, two, *lm.rows(w, one, two)
+
+
+def test_log_probabilities_match_a_naive_softmax():
+    model, w, one, two, of_class, of_word = some_words()
+    want = [naive_log_prob(model.weights, int(x) // 64, int(x) % 64, [int(f[i]) for f in of_class], [int(f[i]) for f in of_word]) for i, x in enumerate(w)]
+    assert np.allclose(lm.log_probs(model, w, one, two), want, atol=1e-4)
+
+
+def test_gradients_match_differences_of_a_naive_loss(monkeypatch):
+    model, w, one, two, of_class, of_word = some_words()
+    c, k = (w // 64).astype(np.int64), (w % 64).astype(np.int64)
+    moves = []
+    monkeypatch.setattr(lm.Trainer, "_move", lambda self, level, row, total: moves.append((level[0].weights.base is not None and len(level[0].weights), row.copy(), total.copy())))
+    lm.Trainer(model).step(c, k, of_class, of_word)
+    assert len(moves) == 6
+    grad = np.zeros(model.weights.shape)
+    for size, row, total in moves:
+        np.add.at(grad, row + (0 if size == lm.CLASS_ROWS else lm.CLASS_ROWS), total)
+
+    def loss(weights):
+        return -sum(naive_log_prob(weights, int(c[i]), int(k[i]), [int(f[i]) for f in of_class], [int(f[i]) for f in of_word]) for i in range(len(w)))
+
+    for r, j in np.argwhere(np.abs(grad) > 0.3)[::40][:12]:
+        up, down = model.weights.astype(float), model.weights.astype(float)
+        up[r, j] += 1e-3
+        down[r, j] -= 1e-3
+        assert grad[r, j] == pytest.approx((loss(up) - loss(down)) / 2e-3, rel=2e-3, abs=2e-3)
+
+
+def test_rows_are_averaged_by_use():
+    rng = np.random.default_rng(2)
+    row, used, v = rng.integers(0, 30, 400).astype(np.int32), rng.integers(1, 90, 400), rng.normal(size=(400, lm.WIDTH)).astype(np.float16)
+    batches = [T.batch(lm._MOVED, row=row[s], used=used[s], weights=[x.tobytes() for x in v[s]]) for s in (slice(0, 150), slice(150, 400))]
+    for b in lm._average(iter(batches)):
+        for r, u, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lm._vectors(b.column(2)), strict=True):
+            assert u == used[row == r].sum() and np.allclose(x, np.average(v[row == r].astype(float), axis=0, weights=used[row == r]), atol=4e-3)
+
+
+def brute_added(ctx, bucket, p, row):
+    """What a context's words get, by plain gradient steps and an explicit sum over the context's features."""
+    out = {}
+    for c in set(ctx):
+        at = [i for i, x in enumerate(ctx) if x == c]
+        feats = sorted({bucket[i] for i in at if len({row[j] for j in at if bucket[j] == bucket[i]}) > 1})
+        n = {f: sum(bucket[i] == f for i in at) for f in feats}
+        q = {f: next(p[i] for i in at if bucket[i] == f) for f in feats}
+        theta = dict.fromkeys(feats, 0.0)
+        for _ in range(4000):
+            z = 1 + sum(q[f] * (math.exp(theta[f]) - 1) for f in feats)
+            theta = {f: t + 0.02 * (n[f] - len(at) * q[f] * math.exp(t) / z - lm.PRIOR * t) for f, t in theta.items()}
+        z = 1 + sum(q[f] * (math.exp(theta[f]) - 1) for f in feats)
+        out |= {i: theta.get(bucket[i], 0.0) - math.log(z) for i in at}
+    return [out[i] for i in range(len(ctx))]
+
+
+def test_sparse_weights_match_brute_force():
+    rng = np.random.default_rng(9)
+    ctx, bucket, row = rng.integers(0, 12, 160), rng.integers(0, 6, 160), rng.integers(0, 25, 160)
+    fine = (rng.integers(1000, 16000, (12, 6)))[ctx, bucket]
+    got = lm.added(ctx.astype(np.uint32), bucket.astype(np.uint32), fine.astype(np.uint32), row)
+    assert np.allclose(got, brute_added(ctx.tolist(), bucket.tolist(), np.exp(-fine / lm.FINE).tolist(), row.tolist()), atol=0.02)
+    back = lm._unpacked(lm._packed(ctx, bucket, fine, row))
+    assert all((a == b).all() for a, b in zip(back, (ctx, bucket, fine, row), strict=True))
+
+
+def test_scores_are_the_softmax_and_the_sparse_weights(spark):
+    rng = random.Random(21)
+    texts = [" ".join(words(rng, rng.randrange(0, 40), 9)) for _ in range(40)] + ["", None, "one", "one"]
+    df = frame(spark, texts).repartition(3).cache()
+    model = lm.train(df)
+    base = {r.doc_id: r for r in lm.score(df, model).collect()}
+    ctx, bucket, p, row = [], [], [], []
+    for d, t in enumerate(texts):
+        buf, off = T.utf8(pa.array([t or ""]))
+        before, h, b, w, one, two = lm.words(model, buf, off)
+        logp = lm.log_probs(model, w, one, two) + model.within[b]
+        assert logp.sum() == pytest.approx(base[d].log_prob, abs=1e-3)
+        toks = (t or "").split()
+        ctx += [tuple([None, None, *toks][i : i + 2]) for i in range(len(toks))]
+        bucket, p, row = bucket + b.tolist(), p + np.exp(logp).tolist(), row + [d] * len(b)
+    more = brute_added(ctx, bucket, p, row)
+    for groups in (1 << 19, 3000):
+        got = {r.doc_id: r for r in lm.score(df, group=groups).collect()}
+        for d in range(len(texts)):
+            want = base[d].log_prob + sum(x for x, r in zip(more, row, strict=True) if r == d)
+            assert got[d].log_prob == pytest.approx(want, abs=0.05 + 0.01 * abs(want)) and got[d].n_words == base[d].n_words
+
+
+def test_sparse_probabilities_sum_to_one():
+    """Over a context's features and everything else."""
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40):
+        p = rng.dirichlet(np.ones(n + 1))[:n]
+        count = rng.integers(2, 50, n).astype(float)
+        theta, log_z = lm.weights(count, p, np.zeros(n, int), np.array([count.sum() + 3]))
+        assert (p * np.exp(theta - log_z)).sum() + (1 - p.sum()) * np.exp(-log_z[0]) == pytest.approx(1)
+
+
+def test_rows_that_occur_twice_score_apart_and_frequent_contexts_are_dealt(spark):
+    rng = random.Random(22)
+    texts = [" ".join(words(rng, 60, 3000)) for _ in range(300)]
+    df = frame(spark, [*texts, *texts[:30], *["a b c"] * 3000]).repartition(4).cache()
+    assert len(lm.train(df, group=1 << 12).hot[0]) >= 3
+    for group in (1 << 19, 1 << 12):
+        got = {r.doc_id: r.perplexity for r in lm.score(df, group=group).collect()}
+        assert len(got) == 3330 and max(got[i] for i in range(30)) < 0.3 * min(got[i] for i in range(30, 300)) and got[400] < 2
+
+
+def test_scores_hardly_depend_on_the_partitioning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 200")
+    one, four = ({r.doc_id: r.log_prob / r.n_words for r in lm.score(docs.repartition(n)).collect()} for n in (1, 4))
+    diff = np.array([one[d] - four[d] for d in one])
+    # steps in another order end elsewhere: 0.17 nats a word on average on these 0.4 million words, of 6
+    assert np.abs(diff).mean() < 0.25 and np.corrcoef(list(one.values()), [four[d] for d in one])[0, 1] > 0.97
+
+
 def test_training_lowers_perplexity_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4)
     seen, held = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
-    trained, plain = (lm.score(held, lm.train(seen, rounds=r)).selectExpr("exp(-sum(log_prob) / sum(n_words)) AS p").first().p for r in (1, 0))
+    trained, plain = (lm.score(held, lm.train(seen, rounds=r)).selectExpr("exp(-sum(log_prob) / sum(n_words)) AS p").first().p for r in (2, 0))
+    print("held-out perplexity", trained, plain)
     assert trained < 0.9 * plain
 
 
@@ -401,5 +534,5 @@ def test_scores_do_not_depend_on_neighbours(spark):
 def test_lm_corner_cases(spark):
     docs = clashing(odd(spark))
     rows = lm.score(docs).collect()
-    assert len(rows) == 7 and {r.doc_id: r.n_words for r in rows}[4] == 60_000
+    assert len(rows) == 7 and {r.doc_id: r.n_words for r in rows}[4] == 150_000
     assert lm.score(docs.limit(0)).count() == 0

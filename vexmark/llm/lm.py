@@ -1,20 +1,26 @@
-"""Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
-
-*Vocabulary.* Words are lower-cased runs of letters, digits and multi-byte characters, hashed into 65,536 buckets that are
-counted over all documents. The 4,032 most frequent buckets are words of the model, 64 to a class in order of frequency;
-all others share the 64 words of a last class by hash. A word is scored by log p(class | history) + log p(word | class, history).
-
-*Features* of a history: the last word, the last two as a bigram, and the last but one as a skip; beside a constant. Each
-picks, by hash, a row of 64 weights for the classes, and together with the class a row of 64 weights for its words. A
-softmax thus costs 128 sums instead of 4,096.
-
-*Training.* The constant's weights start at the corpus counts. Then each task takes all its documents through minibatches of
-gradient steps (AdaGrad per row) from the shared weights, and sends the rows it moved with how often each was used; rows
-are averaged over tasks by that use in a shuffle. A further round repeats this from the averages. The model's
-size is fixed, 21 MB, whatever the input, and so is what is broadcast; only the copies of its rows in the shuffle grow with the
-number of tasks.
-
-*Scoring.* Rows are gathered for batches of tokens, and documents get the sum over all their words.
+"""Language-model scoring by a hashed maximum-entropy model: a class-factored softmax, and sparse n-gram weights over it.
+
+*Vocabulary.* Words are lower-cased runs of letters, digits and multi-byte characters, hashed into buckets that are counted
+over all documents; there are as many buckets as the corpus has words to the power of 0.75, 65,536 at least and 4 million at
+most. The 4,032 most frequent buckets are words of the softmax, 64 to a class in order of frequency; all others share the 64
+words of a last class by hash, and each has its part of such a word by its count.
+
+*Softmax.* log p(class | history) + log p(word | class, history) + log p(bucket | word). Features of a history are the last
+word and, as a skip, the last but one; beside a constant. Each picks, by hash, a row of 64 weights for the classes, and
+together with the class a row of 64 weights for its words. A softmax thus costs 128 sums instead of 4,096. The constant's
+weights start at the corpus counts. Then, in ``rounds`` rounds of one part of the documents' blocks each, every task takes
+its blocks through minibatches of gradient steps (AdaGrad per row) from the shared weights, and sends the rows it moved with
+how often each was used; rows are averaged over tasks by that use in a shuffle. The softmax's size is fixed, 11 MB, and so is
+what is broadcast, 36 MB at most.
+
+*Sparse weights.* Every pair of a context (the two words before, as they are) and a bucket that occurs in two rows or more is a
+feature with a weight of its own; there are as many as the corpus has. p(bucket | context) is the softmax's times e^weight, over
+the context's sum. Words go to groups by hash of their context, a few bytes each, so a group holds all of a context's words,
+and its weights come from Newton's gradient steps under a Gaussian prior without any exchange with others; what a group adds
+to each row's log-probability goes back in a second shuffle. A context that would fill a quarter of a group is dealt into
+parts by row, each with weights of its own.
+
+*Scoring.* Rows of weights are gathered for batches of words, and documents get the sum over all their words.
 """
 
 from __future__ import annotations
@@ -24,54 +30,75 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
 from .line_dedup import ddl
 
-BUCKETS, WIDTH = 1 << 16, 64
+BUCKETS, MOST_BUCKETS, WIDTH = 1 << 16, 1 << 22, 64
 VOCABULARY = WIDTH * WIDTH
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 16
-TOKENS, RATE, ROUNDS, SHORT = 4096, 0.15, 1, 8
+CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 15
+TOKENS, RATE, ROUNDS, SHORT = 4096, 0.15, 2, 8
+GROUP, GROUPS, HELD, HOT = 1 << 19, 1 << 16, 1 << 22, 1 << 17
+PRIOR, STEPS, FINE = 0.3, 14, 2000
 BOS = VOCABULARY
 F32 = np.float32
-_COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+_COUNTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 _MOVED = pa.schema([("row", pa.int32()), ("used", pa.int64()), ("weights", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
+_SPREAD = pa.schema([("grp", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("payload", pa.binary())])
+_ADDED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64())])
 
 
 @dataclass
 class Model:
-    """``number``: the model's word of each bucket; ``weights``: class rows (the first is the constant's), then word rows (the first 64 are the constant's)."""
+    """``number``: the softmax's word of each bucket, ``within``: the bucket's log-share of it; ``weights``: class rows (the first is
+    the constant's), then word rows (the first 64 are the constant's). ``hot``: contexts dealt into parts, and into how many; ``groups``."""
 
     number: np.ndarray
+    within: np.ndarray
     weights: np.ndarray
+    hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, T.U64), np.zeros(0, np.int64))
+    groups: int = 1
 
 
 def fresh(counts: np.ndarray) -> Model:
     """The unigram model of the buckets' counts."""
     order = np.argsort(-counts, kind="stable")
-    number = (VOCABULARY - WIDTH + np.arange(BUCKETS) % WIDTH).astype(np.uint16)
+    number = (VOCABULARY - WIDTH + np.arange(len(counts)) % WIDTH).astype(np.uint16)
     number[order[: VOCABULARY - WIDTH]] = np.arange(VOCABULARY - WIDTH)
+    sizes = np.bincount(number, counts + 0.5, VOCABULARY)
     mass = np.bincount(number, counts, VOCABULARY).reshape(WIDTH, WIDTH) + 0.5
     weights = np.zeros((CLASS_ROWS + WORD_ROWS, WIDTH), F32)
     weights[0] = np.log(mass.sum(axis=1) / mass.sum())
     weights[CLASS_ROWS : CLASS_ROWS + WIDTH] = np.log(mass / mass.sum(axis=1, keepdims=True))
-    return Model(number, weights)
+    return Model(number, np.log((counts + 0.5) / sizes[number]).astype(F32), weights)
 
 
-def words(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words before each row, word, the word before, the one before that), the latter two ``BOS`` at a row's start."""
-    _, _, before, h = T.word_hashes(buf, off)
-    w = model.number[(h & T.U64(BUCKETS - 1)).astype(np.int64)].astype(np.uint32)
-    one, two = np.full(len(w), BOS, np.uint32), np.full(len(w), BOS, np.uint32)
+def shifted(w: np.ndarray, before: np.ndarray, bos: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each, and the one before that; ``bos`` at a row's start."""
+    one, two = np.full(len(w), bos, w.dtype), np.full(len(w), bos, w.dtype)
     one[1:], two[2:] = w[:-1], w[:-2]
     first = before[:-1][np.diff(before) > 0]
-    one[first] = two[first] = BOS
-    second = first[np.diff(before)[np.diff(before) > 0] > 1] + 1
-    two[second] = BOS
-    return before, w, one, two
+    one[first] = two[first] = bos
+    two[first[np.diff(before)[np.diff(before) > 0] > 1] + 1] = bos
+    return one, two
+
+
+def words(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(words before each row, hash, bucket, word, the word before, the one before that)."""
+    _, _, before, h = T.word_hashes(buf, off)
+    bucket = (h & T.U64(len(model.number) - 1)).astype(np.int64)
+    w = model.number[bucket].astype(np.uint32)
+    return before, h, bucket, w, *shifted(w, before, BOS)
+
+
+def contexts(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hash of the two words before each."""
+    one, two = shifted(h, before, 0)
+    return T.mix(one * T.U64(0x9E3779B97F4A7C15) + T.mix(two + T.U64(1)))
 
 
 def _hashed(x: np.ndarray, salt: int, low: int, high: int) -> np.ndarray:
@@ -86,9 +113,8 @@ def _hashed(x: np.ndarray, salt: int, low: int, high: int) -> np.ndarray:
 def rows(w: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each feature's class row, and its word row (counted from the first word row)."""
     cls = w // np.uint32(WIDTH)
-    pair = one * np.uint32(8191) + two
-    of_class = [_hashed(f, s, 1, CLASS_ROWS) for f, s in ((one, 1), (two, 70001), (pair, 140001))]
-    of_word = [_hashed(f * np.uint32(61) + cls, s, WIDTH, WORD_ROWS) for f, s in ((one, 3), (two, 900001), (pair, 1800001))]
+    of_class = [_hashed(f, s, 1, CLASS_ROWS) for f, s in ((one, 1), (two, 70001))]
+    of_word = [_hashed(f * np.uint32(61) + cls, s, WIDTH, WORD_ROWS) for f, s in ((one, 3), (two, 900001))]
     return of_class, of_word
 
 
@@ -189,7 +215,7 @@ class Trainer:
                 self._move(level, row[first], self._sums(g, order, first, size))
 
     def block(self, model: Model, buf: np.ndarray, off: np.ndarray) -> None:
-        _, w, one, two = words(model, buf, off)
+        *_, w, one, two = words(model, buf, off)
         of_class, of_word = rows(w, one, two)
         c, k = (w // WIDTH).astype(np.int64), (w % WIDTH).astype(np.int64)
         self.used[0] += len(w)
@@ -214,23 +240,44 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return np.frombuffer(col.buffers()[2], np.uint8)[: (col.offset + len(col)) * size][col.offset * size :].view(np.float16).reshape(-1, WIDTH).astype(F32)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(BUCKETS, np.int64)
-    for b in batches:
-        for _, _, buf, off in T.text_blocks(b.column(0)):
-            h = T.word_hashes(buf, off)[3]
-            n += np.bincount((h & T.U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    some = np.flatnonzero(n)
-    yield T.batch(_COUNTS, bucket=some.astype(np.int32), n=n[some])
+def _count(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held, total = np.zeros(buckets, np.int64), [], 0
+        for b in batches:
+            for _, _, buf, off in T.text_blocks(b.column(0)):
+                _, _, before, h = T.word_hashes(buf, off)
+                n += np.bincount((h & T.U64(buckets - 1)).astype(np.int64), minlength=buckets)
+                u, k = np.unique(contexts(h, before), return_counts=True)
+                total += len(h)
+                held.append((u[k > 1], k[k > 1]))
+                if len(held) == 64:
+                    held = [_merged(held, total // HOT)]
+        some = np.flatnonzero(n)
+        yield T.batch(_COUNTS, kind=np.zeros(len(some), np.int32), key=some, n=n[some])
+        u, k = _merged(held, total // HOT)
+        yield T.batch(_COUNTS, kind=np.ones(len(u), np.int32), key=T.signed(u), n=k)
+
+    return run
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts summed by context, of those with ``least`` or more."""
+    if not held:
+        return np.zeros(0, T.U64), np.zeros(0, np.int64)
+    u, inv = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    k = np.bincount(inv, np.concatenate([n for _, n in held]), len(u)).astype(np.int64)
+    return u[k >= least], k[k >= least]
 
 
-def _train(shared):
+def _train(shared, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        trainer = Trainer(model)
+        trainer, k = Trainer(model), TaskContext.get().partitionId()
         for b in batches:
             for _, _, buf, off in T.text_blocks(b.column(0)):
-                trainer.block(model, buf, off)
+                if k % rounds == turn:
+                    trainer.block(model, buf, off)
+                k += 1
         yield from trainer.moved()
 
     return run
@@ -259,33 +306,44 @@ def _grouped(row: np.ndarray, used: np.ndarray, v: np.ndarray) -> tuple[np.ndarr
     return row[order][first], k, np.add.reduceat(v[order] * used[order][:, None], first, axis=0) / k[:, None]
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
-    """A model of all of the documents' words."""
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, group: int = GROUP) -> Model:
+    """A softmax of all of the documents' words, and how to deal their contexts."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counts = np.zeros(BUCKETS, np.int64)
-    got = texts.mapInArrow(_count, ddl(_COUNTS)).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(min(MOST_BUCKETS, max(BUCKETS, 2 ** np.ceil(np.log2(max(size / 4, 1) ** 0.75)))))
+    counted = texts.mapInArrow(_count(buckets), ddl(_COUNTS)).groupBy("kind", "key").agg(F.sum("n").alias("n")).where(f"kind = 0 OR n > {group // 4}").toArrow()
+    kind, key, n = (counted.column(c).to_numpy() for c in ("kind", "key", "n"))
+    counts = np.zeros(buckets, np.int64)
+    counts[key[kind == 0]] = n[kind == 0]
     model = fresh(counts)
-    for _ in range(rounds):
+    hot = key[kind == 1].view(T.U64)
+    order = np.argsort(hot)
+    model.hot = hot[order], -(-n[kind == 1][order] // (group // 4))
+    model.groups = int(min(GROUPS, max(1, -(-counts.sum() // group))))
+    for turn in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        moved = texts.mapInArrow(_train(shared), ddl(_MOVED)).repartition("row").mapInArrow(_average, ddl(_MOVED))
+        moved = texts.mapInArrow(_train(shared, turn, rounds), ddl(_MOVED)).repartition("row").mapInArrow(_average, ddl(_MOVED))
         rows_ = moved.toArrow().combine_chunks()
         weights = model.weights.copy()
         for b in rows_.to_batches():
             weights[b.column(0).to_numpy()] = _vectors(b.column(2))
-        model = Model(model.number, weights)
+        model = Model(model.number, model.within, weights, model.hot, model.groups)
         shared.unpersist()
     return model
 
 
+def _levels(model: Model) -> tuple[Softmax, Softmax]:
+    return Softmax(model.weights[:CLASS_ROWS]), Softmax(model.weights[CLASS_ROWS:])
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        levels = Softmax(model.weights[:CLASS_ROWS]), Softmax(model.weights[CLASS_ROWS:])
+        levels = _levels(model)
         for b in batches:
             for i, j, buf, off in T.text_blocks(b.column(1)):
-                before, w, one, two = words(model, buf, off)
-                sums = np.concatenate([[0], np.cumsum(log_probs(model, w, one, two, levels))])
+                before, _, bucket, w, one, two = words(model, buf, off)
+                sums = np.concatenate([[0], np.cumsum(log_probs(model, w, one, two, levels) + model.within[bucket])])
                 total, n = np.diff(sums[before]), np.diff(before)
                 some = n > 0
                 yield T.batch(_SCORES, doc_id=b.column(0).slice(i, j - i), n_words=n, log_prob=np.where(some, total, 0.0), perplexity=pa.array(np.exp(-total / np.maximum(n, 1)), mask=~some))
@@ -293,12 +351,176 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_words, log_prob, perplexity) of every row, by a model trained on all rows unless one is given.
+# -- sparse weights ----------------------------------------------------------------------------------------------------
+
+
+def weights(count: np.ndarray, p: np.ndarray, owner: np.ndarray, total: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(each feature's weight, each context's log-sum): features occur ``count`` times of their ``owner`` context's ``total``.
+
+    The most likely weights under a Gaussian prior of precision PRIOR, with ``p`` the softmax's probability of a feature's bucket;
+    each step goes by the gradient over a bound of the curvature.
+    """
+    theta = np.zeros(len(p))
+    n = total[owner]
+    for _ in range(steps):
+        e = p * np.exp(theta)
+        z = np.maximum(1 + np.bincount(owner, e - p, len(total)), 1e-9)
+        expected = n * e / z[owner]
+        theta += np.clip((count - expected - PRIOR * theta) / (expected + PRIOR), -2, 2)
+    return theta, np.log(np.maximum(1 + np.bincount(owner, p * np.expm1(theta), len(total)), 1e-9))
+
+
+def added(ctx: np.ndarray, bucket: np.ndarray, fine: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """What the sparse weights of these words add to each one's log-probability; they hold all words of their contexts.
+
+    ``fine`` is the softmax's -log p in parts of FINE, ``row`` tells the rows apart.
+    """
+    key = (ctx.astype(T.U64) << T.U64(22)) | bucket.astype(T.U64)
+    order = np.argsort(key, kind="stable")
+    out = np.zeros(len(key))
+    if not len(key):
+        return out
+    sorted_, r = key[order], row[order]
+    pair = np.flatnonzero(np.diff(sorted_, prepend=~sorted_[:1]))
+    n = np.diff(pair, append=len(key))
+    shared = np.minimum.reduceat(r, pair) != np.maximum.reduceat(r, pair)
+    of_pair = sorted_[pair] >> T.U64(22)
+    first = np.flatnonzero(np.diff(of_pair, prepend=~of_pair[:1]))
+    context = np.repeat(np.arange(len(first)), np.diff(first, append=len(pair)))
+    feature = np.flatnonzero(shared)
+    if not len(feature):
+        return out
+    some, owner = np.unique(context[feature], return_inverse=True)
+    p = np.exp(-fine[order[pair[feature]]].astype(np.float64) / FINE)
+    theta, log_z = weights(n[feature], p, owner, np.add.reduceat(n, first)[some].astype(np.float64))
+    per_context, per_pair = np.zeros(len(first)), np.zeros(len(pair))
+    per_context[some] = log_z
+    per_pair[feature] = theta
+    out[order] = np.repeat(per_pair - per_context[context], n)
+    return out
+
+
+def _packed(ctx: np.ndarray, bucket: np.ndarray, fine: np.ndarray, row: np.ndarray) -> bytes:
+    """Words by byte planes, compressed; rows as a table and places in it."""
+    u, at = np.unique(row, return_inverse=True)
+    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:k].tobytes() for x, k in ((ctx, 4), (bucket, 3), (fine, 2), (at, 4))]
+    return np.array([len(ctx), len(u)], np.int64).tobytes() + pa.compress(b"".join([*planes, u.tobytes()]), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, rows_ = np.frombuffer(data, np.int64, 2).tolist()
+    raw = np.frombuffer(pa.decompress(data[16:], 13 * n + 8 * rows_, "zstd"), np.uint8)
+    out, at = [], 0
+    for k in (4, 3, 2, 4):
+        wide = np.zeros((n, 4), np.uint8)
+        wide[:, :k] = raw[at : at + k * n].reshape(k, n).T
+        out.append(wide.view("<u4").ravel())
+        at += k * n
+    return out[0], out[1], out[2], raw[at:].view(np.int64)[out[3]]
+
+
+def _spread(shared):
+    """Rows with the softmax's log-probability, and their words by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        levels, (hot, parts) = _levels(model), model.hot
+        seen: dict[int, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        partition = T.U64(TaskContext.get().partitionId() + 1)
+
+        def flush() -> pa.RecordBatch:
+            group, *cols = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(group.astype(np.uint16), kind="stable")
+            group, cols = group[order], [c[order] for c in cols]
+            cut = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = np.append(cut[1:], len(group))
+            k = len(cut)
+            none = pa.nulls(k, pa.int64())
+            return T.batch(_SPREAD, grp=group[cut], key=none, doc_id=none, n_words=ends - cut, log_prob=pa.nulls(k, pa.float64()), payload=[_packed(*(c[i:j] for c in cols)) for i, j in zip(cut, ends, strict=True)])
+
+        for b in batches:
+            ids = b.column(0)
+            for i, j, buf, off in T.text_blocks(b.column(1)):
+                before, h, bucket, w, one, two = words(model, buf, off)
+                logp = log_probs(model, w, one, two, levels) + model.within[bucket]
+                # a row's key: of its id and text, which of the task's rows like it, and the task, so that a task run again gives the same
+                content = T.mix(T.span_hash(T.prefix_hash(buf), off[:-1], off[1:]) ^ T.mix(_id_bits(ids.slice(i, j - i))))
+                nth = np.zeros(j - i, T.U64)
+                for k, c in enumerate(content.tolist()):
+                    nth[k] = seen[c] = seen.get(c, 0) + 1
+                key = T.signed(T.mix(content ^ T.mix(nth * T.U64(0xA24BAED4963EE407) + partition)))
+                ctx, row = contexts(h, before), key[T.rows_of(before)]
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)
+                    deal = np.where(hot[at] == ctx, row.view(T.U64) % parts[at].astype(T.U64), 0)
+                    ctx = np.where(deal > 0, T.mix(ctx + deal), ctx)
+                group = ((ctx >> T.U64(32)) % T.U64(model.groups)).astype(np.int64)
+                held.append((group, (ctx & T.U64(0xFFFFFFFF)).astype(np.uint32), bucket.astype(np.uint32), np.minimum(-logp * FINE, 65535).astype(np.uint32), row))
+                total = np.diff(np.concatenate([[0], np.cumsum(logp)])[before])
+                yield T.batch(_SPREAD, grp=-1 - (key & 0xFFFF), key=key, doc_id=ids.slice(i, j - i), n_words=np.diff(before), log_prob=total, payload=pa.nulls(j - i, pa.binary()))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield flush()
+                    held = []
+        if any(len(x[0]) for x in held):
+            yield flush()
+
+    return run
+
+
+def _id_bits(ids: pa.Array) -> np.ndarray:
+    return ids.fill_null(0).to_numpy().view(T.U64)
+
+
+def _group_sums(payloads: list[bytes]) -> pa.RecordBatch:
+    """What one group adds to its rows; a large group goes by parts of its contexts."""
+    size = sum(int(np.frombuffer(p, np.int64, 1)[0]) for p in payloads)
+    parts = -(-size // HELD)
+    keys, sums = [], []
+    for part in range(parts):
+        got = [_unpacked(p) for p in payloads]
+        if parts > 1:
+            got = [tuple(c[mine] for c in g) for g in got for mine in [g[0] % np.uint32(parts) == part]]
+        ctx, bucket, fine, row = (np.concatenate(c) for c in zip(*got, strict=True))
+        more = added(ctx, bucket, fine, row)
+        u, at = np.unique(row[more != 0], return_inverse=True)
+        keys.append(u)
+        sums.append(np.bincount(at, more[more != 0], len(u)))
+    key = np.concatenate(keys)
+    none = pa.nulls(len(key), pa.int64())
+    return T.batch(_ADDED, key=key, doc_id=none, n_words=none, log_prob=np.concatenate(sums))
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as they are, and what each group adds to them; groups come whole and one after the other."""
+    now, held = None, []
+    for b in batches:
+        grp = b.column(0).to_numpy()
+        rows_ = b.filter(pa.array(grp < 0))
+        if rows_.num_rows:
+            yield T.batch(_ADDED, **{c: rows_.column(rows_.schema.get_field_index(c)) for c in ("key", "doc_id", "n_words", "log_prob")})
+        for k in np.flatnonzero(grp >= 0):
+            if held and grp[k] != now:
+                yield _group_sums(held)
+                held = []
+            now = grp[k]
+            held.append(b.column(5)[int(k)].as_py())
+    if held:
+        yield _group_sums(held)
+
+
+def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_words, log_prob, perplexity) of every row, by a model trained on all rows; if one is given, by its softmax alone.
 
     A text that is null, empty or without words has 0 words, log-probability 0 and a null perplexity. Repeated rows and null
-    ids are rows of the result. Other columns are not read. An empty table gives an empty result.
+    ids are rows of the result, and count as rows in which a feature occurs. Other columns are not read. An empty table gives
+    an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col, rounds))
+    spark = docs.sparkSession
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows_.mapInArrow(_score(shared), ddl(_SCORES))
+    if model is not None:
+        return rows_.mapInArrow(_score(spark.sparkContext.broadcast(model)), ddl(_SCORES))
+    shared = spark.sparkContext.broadcast(train(docs, text_col, rounds, group))
+    spread = rows_.mapInArrow(_spread(shared), ddl(_SPREAD)).repartition("grp").sortWithinPartitions("grp")
+    sums = spread.mapInArrow(_add, ddl(_ADDED)).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("log_prob").alias("log_prob"))
+    return sums.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words"))).alias("perplexity"))
