@@ -14,8 +14,9 @@ how often each was used; rows are averaged over tasks by that use in a shuffle.
 what is broadcast, 36 MB at most.
 
 *Sparse weights.* Every pair of a context (the two words before, as they are) and a bucket that occurs in two rows or more is a
-feature with a weight of its own; there are as many as the corpus has. p(bucket | context) is the softmax's times e^weight, over
-the context's sum. Words go to groups by hash of their context, a few bytes each, so a group holds all of a context's words,
+feature with a weight of its own; there are as many as the corpus has, and 16 million slots for the contexts of each group
+of two million words. p(bucket | context) is the softmax's times e^weight, over
+the context's sum. Words go to groups by hash of their context, seven bytes each, so a group holds all of a context's words,
 and its weights come from Newton's gradient steps under a Gaussian prior without any exchange with others; what a group adds
 to each row's log-probability goes back in a second shuffle. A context that would fill a quarter of a group is dealt into
 parts by row, each with weights of its own.
@@ -41,8 +42,8 @@ BUCKETS, MOST_BUCKETS, WIDTH = 1 << 16, 1 << 22, 64
 VOCABULARY = WIDTH * WIDTH
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 15
 TOKENS, RATE, ROUNDS, SHORT = 4096, 0.15, 2, 8
-GROUP, GROUPS, HELD, HOT = 1 << 19, 1 << 16, 1 << 22, 1 << 17
-PRIOR, STEPS, FINE = 0.3, 14, 2000
+GROUP, GROUPS, HELD, PART, HOT = 1 << 21, 1 << 16, 1 << 21, 1 << 22, 1 << 17
+PRIOR, STEPS, FINE, SLOTS = 0.3, 14, 64, 1 << 24
 BOS = VOCABULARY
 F32 = np.float32
 _COUNTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
@@ -54,10 +55,11 @@ _ADDED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.
 
 @dataclass
 class Model:
-    """``number``: the softmax's word of each bucket, ``within``: the bucket's log-share of it; ``weights``: class rows (the first is
+    """``number``: the softmax's word of each bucket, ``rank``: its place by count, ``within``: its log-share of the word; ``weights``: class rows (the first is
     the constant's), then word rows (the first 64 are the constant's). ``hot``: contexts dealt into parts, and into how many; ``groups``."""
 
     number: np.ndarray
+    rank: np.ndarray
     within: np.ndarray
     weights: np.ndarray
     hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, T.U64), np.zeros(0, np.int64))
@@ -74,7 +76,9 @@ def fresh(counts: np.ndarray) -> Model:
     weights = np.zeros((CLASS_ROWS + WORD_ROWS, WIDTH), F32)
     weights[0] = np.log(mass.sum(axis=1) / mass.sum())
     weights[CLASS_ROWS : CLASS_ROWS + WIDTH] = np.log(mass / mass.sum(axis=1, keepdims=True))
-    return Model(number, np.log((counts + 0.5) / sizes[number]).astype(F32), weights)
+    rank = np.empty(len(counts), np.uint32)
+    rank[order] = np.arange(len(counts))
+    return Model(number, rank, np.log((counts + 0.5) / sizes[number]).astype(F32), weights)
 
 
 def shifted(w: np.ndarray, before: np.ndarray, bos: int) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +331,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, group:
         weights = model.weights.copy()
         for b in rows_.to_batches():
             weights[b.column(0).to_numpy()] = _vectors(b.column(2))
-        model = Model(model.number, model.within, weights, model.hot, model.groups)
+        model = Model(model.number, model.rank, model.within, weights, model.hot, model.groups)
         shared.unpersist()
     return model
 
@@ -400,23 +404,27 @@ def added(ctx: np.ndarray, bucket: np.ndarray, fine: np.ndarray, row: np.ndarray
     return out
 
 
+_PLANES = (3, 3, 2)  # bytes of a context's slot, a bucket's rank and -log p
+
+
 def _packed(ctx: np.ndarray, bucket: np.ndarray, fine: np.ndarray, row: np.ndarray) -> bytes:
-    """Words by byte planes, compressed; rows as a table and places in it."""
-    u, at = np.unique(row, return_inverse=True)
-    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:k].tobytes() for x, k in ((ctx, 4), (bucket, 3), (fine, 2), (at, 4))]
-    return np.array([len(ctx), len(u)], np.int64).tobytes() + pa.compress(b"".join([*planes, u.tobytes()]), codec="zstd", asbytes=True)
+    """Words by byte planes, compressed; and the runs of words of one row."""
+    begin = np.flatnonzero(np.diff(row, prepend=~row[:1]))
+    size = np.diff(begin, append=len(row))
+    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:k].tobytes() for x, k in zip((ctx, bucket, fine, size), (*_PLANES, 4), strict=True)]
+    return np.array([len(ctx), len(begin)], np.int64).tobytes() + pa.compress(b"".join([*planes, row[begin].tobytes()]), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, rows_ = np.frombuffer(data, np.int64, 2).tolist()
-    raw = np.frombuffer(pa.decompress(data[16:], 13 * n + 8 * rows_, "zstd"), np.uint8)
+    n, runs = np.frombuffer(data, np.int64, 2).tolist()
+    raw = np.frombuffer(pa.decompress(data[16:], sum(_PLANES) * n + 12 * runs, "zstd"), np.uint8)
     out, at = [], 0
-    for k in (4, 3, 2, 4):
-        wide = np.zeros((n, 4), np.uint8)
-        wide[:, :k] = raw[at : at + k * n].reshape(k, n).T
+    for k, m in zip((*_PLANES, 4), (n, n, n, runs), strict=True):
+        wide = np.zeros((m, 4), np.uint8)
+        wide[:, :k] = raw[at : at + k * m].reshape(k, m).T
         out.append(wide.view("<u4").ravel())
-        at += k * n
-    return out[0], out[1], out[2], raw[at:].view(np.int64)[out[3]]
+        at += k * m
+    return out[0], out[1], out[2], np.repeat(raw[at:].view(np.int64), out[3])
 
 
 def _spread(shared):
@@ -456,7 +464,7 @@ def _spread(shared):
                     deal = np.where(hot[at] == ctx, row.view(T.U64) % parts[at].astype(T.U64), 0)
                     ctx = np.where(deal > 0, T.mix(ctx + deal), ctx)
                 group = ((ctx >> T.U64(32)) % T.U64(model.groups)).astype(np.int64)
-                held.append((group, (ctx & T.U64(0xFFFFFFFF)).astype(np.uint32), bucket.astype(np.uint32), np.minimum(-logp * FINE, 65535).astype(np.uint32), row))
+                held.append((group, (ctx & T.U64(SLOTS - 1)).astype(np.uint32), model.rank[bucket], np.rint(np.minimum(-logp * FINE, 65535)).astype(np.uint32), row))
                 total = np.diff(np.concatenate([[0], np.cumsum(logp)])[before])
                 yield T.batch(_SPREAD, grp=-1 - (key & 0xFFFF), key=key, doc_id=ids.slice(i, j - i), n_words=np.diff(before), log_prob=total, payload=pa.nulls(j - i, pa.binary()))
                 if sum(len(x[0]) for x in held) >= HELD:
@@ -475,7 +483,7 @@ def _id_bits(ids: pa.Array) -> np.ndarray:
 def _group_sums(payloads: list[bytes]) -> pa.RecordBatch:
     """What one group adds to its rows; a large group goes by parts of its contexts."""
     size = sum(int(np.frombuffer(p, np.int64, 1)[0]) for p in payloads)
-    parts = -(-size // HELD)
+    parts = -(-size // PART)
     keys, sums = [], []
     for part in range(parts):
         got = [_unpacked(p) for p in payloads]
