@@ -1,13 +1,17 @@
 import json
 
+import numpy as np
 import pytest
 
 from vexmark.errors import Code, EngineError
 from vexmark.files import Files
+from vexmark.operators import ann
 from vexmark.operators import replay as R
+from vexmark.plans import collection
 from vexmark.plans.catalog import Database
 from vexmark.plans.collection import Collection
-from vexmark.streaming.ingest import CHANGES, into_collection, read_changes
+from vexmark.streaming import ingest
+from vexmark.streaming.ingest import CHANGES, Applied, into_collection, read_changes
 from vexmark.types import CollectionConfig, CollectionMeta, Metric
 
 VECTORS = "id long, embedding array<float>"
@@ -159,13 +163,104 @@ def test_replay_over_snapshot(spark):
     assert got == {1: (None, True), 2: ([6.0], False), 3: (None, True)}
 
 
+def changes_file(spark, source, rows):
+    spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(source)
+
+
 def test_stream(spark, tmp_path):
     c = Collection(spark, CONFIG, path=f"{tmp_path}/c")
     source = f"{tmp_path}/in"
-    first = [(1, 1, "INSERT", [1.0, 0.0]), (2, 2, "INSERT", [2.0, 0.0]), (3, 1, "DELETE", None)]
-    spark.createDataFrame(first, CHANGES).coalesce(1).write.parquet(source)
+    changes_file(spark, source, [(1, 1, "INSERT", [1.0, 0.0]), (2, 2, "INSERT", [2.0, 0.0]), (3, 1, "DELETE", None)])
     into_collection(read_changes(spark, source), c, f"{tmp_path}/ck").awaitTermination()
     assert found(c) == [2]
-    spark.createDataFrame([(3, 1, "INSERT", [7.0, 0.0]), (4, 3, "INSERT", [3.0, 0.0])], CHANGES).coalesce(1).write.mode("append").parquet(source)
+    changes_file(spark, source, [(3, 1, "INSERT", [7.0, 0.0]), (4, 3, "INSERT", [3.0, 0.0])])
     into_collection(read_changes(spark, source), c, f"{tmp_path}/ck").awaitTermination()
     assert found(c) == [2, 3]  # LSN 3 was applied before
+
+
+def test_stream_of_files_out_of_order(spark, tmp_path):
+    c, source = Collection(spark, CONFIG, path=f"{tmp_path}/c"), f"{tmp_path}/in"
+    for first in (100, 0, 50):
+        changes_file(spark, source, [(first + i, first + i, "INSERT", [float(first + i), 0.0]) for i in range(10)] + [(first + 10, 7, "INSERT", [float(first + 10), 1.0])])
+    changes_file(spark, source, [(200, 300, "INSERT", [1.0]), (201, None, "INSERT", [1.0, 1.0]), (202, 301, "MERGE", [1.0, 1.0]), (None, 302, "DELETE", None), (203, 100, "DELETE", None)])
+    into_collection(read_changes(spark, source, max_files=1), c, f"{tmp_path}/ck").awaitTermination()
+    got = {r.id: r.embedding for r in Collection.load(spark, c.path).live_view().collect()}
+    assert set(got) == {*range(10), *range(50, 60), *range(101, 110)} and got[7] == [110.0, 1.0]
+    assert sorted((str(r.lsn), r.status) for r in Applied(c).rejected().collect()) == [("200", "kDimensionMismatch"), ("201", "kInvalidArgument"), ("202", "kInvalidArgument"), ("None", "kInvalidArgument")]
+
+
+def test_stream_batches_that_run_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACT_AFTER", 2)
+    c = Collection(spark, CONFIG, path=f"{tmp_path}/c")
+    a = Applied(c)
+    batches = [[(5, 1, "INSERT", [5.0, 0.0])], [(4, 1, "DELETE", None), (6, 2, "INSERT", [6.0, 0.0])], [(7, 2, "DELETE", None)], [(6, 2, "INSERT", [9.0, 0.0])], [(8, 3, "INSERT", [8.0, 0.0])]]
+    for n, rows_ in enumerate(batches):
+        batch = spark.createDataFrame(rows_, CHANGES)
+        if n == 1:  # the commit fails after the batch was decided on: the same changes are applied later
+            with monkeypatch.context() as m:
+                m.setattr(Collection, "apply_batch", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError):
+                    a.apply(batch, n)
+        a.apply(batch, n)
+        before = c.next_lsn
+        a.apply(batch, n)
+        assert c.next_lsn == before
+        c.save()
+    assert found(c) == [1, 3] and {r.id: r.lsn for r in a.marks().collect()} == {1: 5, 2: 7, 3: 8}
+    assert len([n for n in Files(spark).names(a.folder) if n.startswith("base")]) == 1
+
+
+def test_readers_keep_their_state_over_a_save(spark, tmp_path):
+    c = Collection(spark, CONFIG, path=f"{tmp_path}/c")
+    c.insert_batch(rows(spark, range(4)))
+    c.save()
+    c.insert_batch(rows(spark, range(4, 6)))
+    view = Collection.load(spark, c.path).live_view()
+    c.insert_batch(rows(spark, range(6, 8)))
+    c.save()
+    assert view.count() == 6 and c.size() == 8
+    c.save()
+    assert Files(spark).names(f"{c.path}/snapshot") == ["v=2", "v=3"] and Files(spark).names(f"{c.path}/log") == []
+
+
+def test_many_metadata_calls_keep_plans_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(collection, "SINGLES", 5)
+    c = Collection(spark, CONFIG, path=f"{tmp_path}/c")
+    for k in range(23):
+        c.set_metadata(k % 7, {"k": k})
+    for k in range(9):
+        c.set_metadata_batch(spark.createDataFrame([(k, f'{{"b":{k}}}')], "id long, metadata string"))
+    c.set_metadata(8, {"last": 1})
+    got = {r.id: json.loads(r.metadata) for r in c.metadata().collect()}
+    assert got == {**{k: {"b": k} for k in range(8)}, 8: {"last": 1}} and len(c._changes) < 8
+
+
+def test_index_in_a_collection(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 8)).astype(np.float32) + 8 * rng.integers(0, 12, 1500)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS)
+    c = Collection(spark, CollectionConfig("i", 8, Metric.L2), path=f"{tmp_path}/c")
+    c.insert_batch(frame.where("id < 1000"), "id")
+    c.create_index(20)
+    queries = frame.where("id % 10 = 0").selectExpr("id AS qid", "embedding AS qv")
+
+    def recall(ef):
+        truth, got = ({(r.qid, r.id) for r in c.search_batch(queries, 10, e).collect()} for e in (None, ef))
+        return len(truth & got) / len(truth)
+
+    assert recall(300) > 0.9
+    c.insert_batch(frame.where("id >= 1000 AND id < 1200"), "id")
+    c.insert(5, [100.0] * 8)
+    c.remove_batch(frame.where("id BETWEEN 900 AND 999"))
+    assert recall(300) > 0.9 and recall(3000) == 1
+    c.save()
+    c = Collection.load(spark, c.path)
+    assert c._index.generations == 2 and c._index.gone == 101 and recall(3000) == 1
+    assert [r.id for r in c.search([100.0] * 8, 1, ef=50).collect()] == [5]
+    c.insert_batch(frame.where("id >= 600"), "id")  # more than a fifth of the index is out of date
+    c.save()
+    assert c._index.generations == 1 and recall(3000) == 1
+    with pytest.raises(EngineError):
+        c.search([1.0], 1, ef=9)
+    with pytest.raises(EngineError):
+        ann.load(spark, f"{tmp_path}/none")

@@ -110,3 +110,62 @@ def test_inverted_file(spark, tmp_path, metric):
     assert E.mean_recall(E.hit_lists(ann.search(index, q, 10, ef=200)), truth, 10).first().recall >= 0.91
     assert E.mean_recall(E.hit_lists(ann.search(index, q, 10, ef=600)), truth, 10).first().recall == 1.0
     assert E.mean_recall(E.hit_lists(ann.lsh_search(v, q, 10, metric)), truth, 10).first().recall >= 0.9
+
+
+@pytest.mark.parametrize("held", [8_000_000, 0])
+def test_searches_by_key_and_in_many_batches(spark, held):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 6)).astype(np.float32)
+    x[100:200] = x[:100]  # ties
+    rows = spark.createDataFrame([(i, v.tolist(), None if i % 11 == 0 else i % 7) for i, v in enumerate(x)], "id long, embedding array<float>, part int").repartition(3)
+    queries = rows.where("id % 50 = 0").selectExpr("id AS qid", "embedding AS qv", "part AS own")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        for metric in Metric:
+            d = S.distances(metric, x.astype(float), x.astype(float))
+            for key in (None, "part"):
+                got = {}
+                for r in batch(rows, queries, metric, key, held).collect():
+                    got.setdefault(r.qid, []).append((r["rank"], r.id))
+                for q in range(0, 3000, 50):
+                    fit = [i for i in range(3000) if key is None or (q % 11 and i % 11 and i % 7 == q % 7)]
+                    want = sorted(fit, key=lambda i: (d[q, i], i))[:4]
+                    assert [i for _, i in sorted(got.get(q, []))] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def batch(rows, queries, metric, key, held):
+    """``knn_batch`` with the bound on held hits that executors see: it goes with the function's module by value."""
+    before, S._HELD = S._HELD, held
+    try:
+        return S.knn_batch(rows, queries, 4, metric, key_col=key, query_key_col="own" if key else None)
+    finally:
+        S._HELD = before
+
+
+def test_index_changes_and_reopens(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 5)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    index = ann.build(rows.where("id < 200"), f"{tmp_path}/i", Metric.L2, 9)
+    index = index.insert(rows.where("id >= 200")).delete(rows.where("id BETWEEN 50 AND 59"))
+    index = index.insert(rows.where("id = 55").selectExpr("id", "array(9f, 9f, 9f, 9f, 9f) AS embedding"))
+    again = ann.load(spark, f"{tmp_path}/i")
+    assert (again.rows, again.gone, again.generations, again.lsn) == (index.rows, index.gone, 4, 3) and (again.centroids == index.centroids).all()
+    live = {r.id: r.embedding for r in again.rows_of(spark).collect()}
+    assert set(live) == set(range(400)) - (set(range(50, 60)) - {55}) and live[55] == [9.0] * 5
+    q = rows.where("id % 9 = 0").selectExpr("id AS qid", "embedding AS qv")
+    exact = S.knn_batch(again.rows_of(spark), q, 3, Metric.L2)
+    assert sorted(ann.search(again, q, 3, ef=1000).collect()) == sorted(exact.collect())
+
+
+def test_hashed_planes_find_near_vectors(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 16))
+    x = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape)]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    got = ann.lsh_search(rows, rows.where("id < 300").selectExpr("id AS qid", "embedding AS qv"), 2).collect()
+    twin = {r.qid for r in got if r.id == r.qid + 300}
+    assert len(twin) > 285 and all(r.score <= 1e-6 for r in got)

@@ -63,7 +63,7 @@ class HashingEmbedder:
 
 
 class OnnxEmbedder:
-    """A sentence model from an ONNX file and its tokenizer file: three integer inputs, first output pooled and normalised."""
+    """A sentence model from an ONNX file and its tokenizer file: its inputs by their usual names, or in their usual order; first output pooled and normalised."""
 
     def __init__(self, model_path: str, tokenizer_path: str) -> None:
         self.model_path, self.tokenizer_path, self._loaded = model_path, tokenizer_path, None
@@ -82,7 +82,9 @@ class OnnxEmbedder:
         session, tok = self._loaded
         enc = tok.encode_batch(texts, add_special_tokens=False)
         ids, mask = (np.array([getattr(e, a) for e in enc], np.int64).reshape(len(enc), -1) for a in ("ids", "attention_mask"))
-        feed = dict(zip((i.name for i in session.get_inputs()), (ids, mask, np.zeros_like(ids)), strict=False))
+        known = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        names = [i.name for i in session.get_inputs()]
+        feed = {n: known[n] for n in names} if set(names) <= set(known) else dict(zip(names, known.values(), strict=False))
         out = session.run(None, feed)[0]
         return normalize(mean_pool(out, mask) if out.ndim == 3 else out)
 

@@ -33,6 +33,11 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def whole(self, path: str) -> list[str]:
+        """Names of a folder's subfolders whose Spark write was finished, sorted; by one listing."""
+        fs, p = self._at(f"{path}/*/_SUCCESS")
+        return sorted(s.getPath().getParent().getName() for s in fs.globStatus(p) or [])
+
     def files(self, path: str) -> list[tuple[str, int]]:
         """(path, bytes) of a file, or of a folder's visible files by name."""
         fs, p = self._at(path)

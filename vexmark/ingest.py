@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .embed import Embedder, HashingEmbedder
 from .operators.evaluate import Timing, timed
-from .operators.search import with_metadata
 from .plans.collection import Collection
 from .sources.lines import lookup, read_lines
 from .sources.rawvec import read_f32, trailing_bytes
@@ -49,14 +48,3 @@ def search_text(spark: SparkSession, collection: Collection, text: str, lines: D
     """(rank, id, score, text) of the lines nearest to a text."""
     vector = (embedder or HashingEmbedder(collection.dimension))([text])[0]
     return lookup(collection.search([float(v) for v in vector], k), lines).orderBy("rank")
-
-
-def search_documents(spark: SparkSession, docs: DataFrame, query: str, k: int = 10, embedder: Embedder | None = None, metadata: DataFrame | None = None) -> DataFrame:
-    """(rank, id, score[, metadata]) of the documents nearest to a text, without a collection."""
-    from .embed import embed
-    from .operators.search import knn
-
-    model = embedder or HashingEmbedder()
-    vectors = embed(docs.select(F.col("doc_id").alias("id"), "text"), model).select("id", "embedding")
-    hits = knn(vectors, [float(v) for v in model([query])[0]], k)
-    return hits if metadata is None else with_metadata(hits, metadata)

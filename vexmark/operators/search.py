@@ -1,9 +1,10 @@
 """k nearest neighbours, exact.
 
 ``knn`` is one query vector: a projection and ``TakeOrderedAndProject``, all inside Catalyst. ``knn_batch`` takes a DataFrame of
-queries: vectors stay where they are, queries go to every task, each Arrow batch gives its own best k by a matrix product,
-and a window takes the best of those; only k rows a query and batch are shuffled. ``knn_batch_sql`` is the same as one
-declarative plan, for few queries or as a cross-check.
+queries: vectors stay where they are, queries go to every task, which keeps the best k so far of each query, by a matrix
+product with each Arrow batch, and a window takes the best of all tasks'; only k rows a query and task are shuffled. With key
+columns a query looks at the vectors of its own key alone, and only those products are made. ``knn_batch_sql`` is the same as
+one declarative plan, for few queries or as a cross-check.
 
 Queries are broadcast while they hold at most ``BROADCAST_VALUES`` numbers; beyond that they are dealt into slices within the
 bound, each one pass over the vectors.
@@ -26,6 +27,7 @@ from ..types import Metric
 
 BROADCAST_VALUES = 16_000_000
 _BLOCK = 4_000_000  # scores at a time
+_HELD = 8_000_000  # best hits so far that a task keeps; with more of them each batch gives its own
 _HITS = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
 
@@ -99,36 +101,85 @@ def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return row[place < k], col[place < k]
 
 
+class Best:
+    """The k nearest so far of each of some queries, of equals the smaller ids."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.far, self.ids = k, np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, who: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """Distances of the queries ``who`` to the vectors ``ids``."""
+        row, col = smallest(d, ids, self.k)
+        n = min(self.k, d.shape[1])
+        far = np.concatenate([self.far[who], d[row, col].reshape(-1, n)], axis=1)
+        ids = np.concatenate([self.ids[who], ids[col].reshape(-1, n)], axis=1)
+        order = np.lexsort((ids, far), axis=1)[:, : self.k]
+        self.far[who], self.ids[who] = np.take_along_axis(far, order, 1), np.take_along_axis(ids, order, 1)
+
+    def hits(self, qids: np.ndarray, sign: float) -> pa.RecordBatch:
+        row, col = np.nonzero(self.far < np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(self.ids[row, col]), pa.array(sign * self.far[row, col])], schema=_HITS)
+
+
+def _by_key(keys: pa.Array) -> dict:
+    """The places of each value, nulls left out."""
+    coded = keys.dictionary_encode()
+    at = coded.indices.fill_null(-1).to_numpy()
+    order = np.argsort(at, kind="stable")
+    begin = np.searchsorted(at[order], np.arange(len(coded.dictionary) + 1))
+    return {v: order[begin[i] : begin[i + 1]] for i, v in enumerate(coded.dictionary.to_pylist())}
+
+
 def _search(shared, k: int, metric: Metric):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
+        qids, q, members = shared.value
         sign = 1.0 if metric.ascending else -1.0
+        held = len(q) * k <= _HELD
+        best = Best(len(q), k) if held else None
+        everyone = np.arange(len(q))
         for b in batches:
+            if not b.num_rows:
+                continue
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1), q.shape[1])
-            step = max(1, _BLOCK // max(1, len(x)))
-            for i in range(0, len(q) if len(x) else 0, step):
-                d = distances(metric, q[i : i + step], x)
-                row, col = smallest(d, ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i + row]), pa.array(ids[col]), pa.array(sign * d[row, col])], schema=_HITS)
+            parts = [(everyone, np.arange(len(x)))] if members is None else [(members[v], at) for v, at in _by_key(b.column(2)).items() if v in members]
+            for who, at in parts:
+                own, step = x[at], max(1, _BLOCK // len(at))
+                for i in range(0, len(who), step):
+                    w = who[i : i + step]
+                    d = distances(metric, q[w], own)
+                    if held:
+                        best.add(w, d, ids[at])
+                    else:
+                        row, col = smallest(d, ids[at], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(qids[w[row]]), pa.array(ids[at[col]]), pa.array(sign * d[row, col])], schema=_HITS)
+        if held:
+            yield best.hits(qids, sign)
 
     return run
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.COSINE, dimensions: int | None = None, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "qv", broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
-    """(qid, rank, id, score): each query's k best, as ``knn`` gives them. No queries give no rows."""
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.COSINE, dimensions: int | None = None, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "qv", broadcast_values: int = BROADCAST_VALUES, key_col: str | None = None, query_key_col: str | None = None) -> DataFrame:
+    """(qid, rank, id, score): each query's k best, as ``knn`` gives them. No queries give no rows.
+
+    With ``key_col`` (and ``query_key_col``, by default the same name) a query finds only vectors whose key equals its own; a null key finds and
+    is found by nothing.
+    """
     spark = vectors.sparkSession
     if dimensions is not None:
         check_queries(queries, dimensions, query_col)
-    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(query_col).cast("array<float>").alias("qv")).where("qid IS NOT NULL AND qv IS NOT NULL")
+    own_key = F.col(query_key_col or key_col).alias("key") if key_col else F.lit(0).alias("key")
+    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(query_col).cast("array<float>").alias("qv"), own_key).where("qid IS NOT NULL AND qv IS NOT NULL")
     sizes = {r["width"]: r["n"] for r in q.groupBy(F.size("qv").alias("width")).agg(F.count("*").alias("n")).collect()}
     found = []
     for width, n in sorted(sizes.items()) if k > 0 else ():
         own, slices = q.where(F.size("qv") == width), max(1, math.ceil(n * width / broadcast_values))
+        rows = vectors.where(F.size(vector_col) == width).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"), *([F.col(key_col).alias("key")] if key_col else []))
         for s in range(slices):
             part = (own if slices == 1 else own.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s)).toArrow().combine_chunks()
             if part.num_rows and width:
-                shared = spark.sparkContext.broadcast((part.column("qid").to_numpy(), _matrix(part.column("qv").combine_chunks(), width)))
-                found.append(_vectors(vectors, id_col, vector_col, width).mapInArrow(_search(shared, k, metric), "qid long, id long, score double"))
+                members = _by_key(part.column("key").combine_chunks()) if key_col else None
+                shared = spark.sparkContext.broadcast((part.column("qid").to_numpy(), _matrix(part.column("qv").combine_chunks(), width), members))
+                found.append(rows.mapInArrow(_search(shared, k, metric), "qid long, id long, score double"))
     if not found:
         return spark.createDataFrame([], "qid long, rank int, id long, score double")
     return ranked(reduce(DataFrame.union, found), k, metric)

@@ -3,7 +3,9 @@
     <dir>/meta.json            settings, counters and the snapshot's version; replaced by a rename, last of all
     <dir>/snapshot/v=<n>/      (id, embedding, deleted, metadata)
     <dir>/log/<lsn>/           one commit's records (lsn, txid, op, id, dimension, embedding), first LSN as its name
+    <dir>/index/v=<n>/         an inverted file of the vectors up to some LSN; see ``operators.ann``
 
+A save keeps the snapshot before it and the commits that it holds until the next one, for readers that still use them.
 A commit is a Parquet write; it counts once its ``_SUCCESS`` is there. Without a path everything lives in the session's
 scratch folder and is gone with it. Handles are for one writer at a time; readers may open the same folder.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from ..errors import Code, EngineError, Status
 from ..files import Files, kept, scratch
 from ..functions import metadata as M
+from ..operators import ann
 from ..operators import replay as R
 from ..operators import search as S
 from ..types import CollectionConfig, CollectionMeta, IndexOptions, Recovery
@@ -27,6 +31,7 @@ from ..types import CollectionConfig, CollectionMeta, IndexOptions, Recovery
 SNAPSHOT = "id long, embedding array<float>, deleted boolean, metadata string"
 LOG = "lsn long, txid long, op string, id long, dimension int, embedding array<float>"
 _SEQ = "seq long, id long, metadata string"
+SINGLES, FRAMES, STALE = 10_000, 8, 0.2
 
 
 class Collection:
@@ -38,8 +43,8 @@ class Collection:
         self.meta = CollectionMeta(config, options or IndexOptions())
         self.next_lsn = self.next_txid = 1
         self.recovered_from_log = False
-        self._seq = 0
-        self._changes: DataFrame | None = None
+        self._seq, self._changes, self._single = 0, [], {}
+        self._index: ann.Index | None = None
         if self.persistent:
             if self.files.exists(f"{self.path}/meta.json"):
                 raise EngineError(Code.ALREADY_EXISTS, self.path)
@@ -56,12 +61,14 @@ class Collection:
             raise EngineError(Code.NOT_FOUND, f"no collection at {path}")
         self = cls.__new__(cls)
         self.spark, self.files, self.path, self.persistent = spark, files, path, True
-        self._seq, self._changes = 0, None
+        self._seq, self._changes, self._single, self._index = 0, [], {}, None
         self.meta = cls.read_meta(spark, path)
         if self.meta.snapshot and not files.exists(f"{path}/snapshot/v={self.meta.snapshot}/_SUCCESS"):
             raise EngineError(Code.NOT_FOUND, f"{path} lacks snapshot {self.meta.snapshot}")
         r = self.meta.recovery
         self.next_lsn, self.next_txid, self.recovered_from_log = r.last_lsn + 1, r.last_txid + 1, False
+        if self.meta.index:
+            self._index = ann.load(spark, f"{path}/index/v={self.meta.index}")
         log = self.log()
         if log is not None:
             got = R.counters(log, r.last_lsn, r.last_txid).first()
@@ -111,9 +118,9 @@ class Collection:
         return self.spark.read.schema(SNAPSHOT).parquet(f"{self.path}/snapshot/v={v}") if v else None
 
     def commits(self) -> list[str]:
-        """Folders of the log's whole commits, in order."""
-        names = [n for n in self.files.names(f"{self.path}/log") if n.isdigit()]
-        return [f"{self.path}/log/{n}" for n in names if self.files.exists(f"{self.path}/log/{n}/_SUCCESS")]
+        """Folders of the log's whole commits that the snapshot doesn't hold, in order."""
+        names = [n for n in self.files.whole(f"{self.path}/log") if n.isdigit()]
+        return [f"{self.path}/log/{n}" for n in names if int(n) > self.meta.recovery.last_lsn]
 
     def log(self) -> DataFrame | None:
         found = self.commits()
@@ -122,7 +129,7 @@ class Collection:
     def state(self) -> DataFrame | None:
         """(id, embedding, deleted); None if nothing was ever written. Snapshot rows with metadata alone are no vectors."""
         saved = self.snapshot()
-        return R.merged(saved if saved is None else saved.where("deleted IS NOT NULL"), self.log(), self.meta.recovery.last_lsn)
+        return R.merged(saved if saved is None else saved.where("deleted IS NOT NULL").select("id", "embedding", "deleted"), self.log(), self.meta.recovery.last_lsn)
 
     def live_view(self) -> DataFrame:
         """(id, embedding) of all vectors that a search may find."""
@@ -131,8 +138,7 @@ class Collection:
 
     def metadata(self) -> DataFrame:
         """(id, metadata) as JSON text."""
-        saved = self.snapshot()
-        changes = self._changes
+        saved, changes = self.snapshot(), self._all_changes()
         if saved is not None:
             first = saved.where("metadata IS NOT NULL").select("id", "metadata")
             if changes is None:
@@ -171,7 +177,7 @@ class Collection:
         self._append(one, 1)
         if not known:
             return Status(Code.NOT_FOUND, f"no vector {id}")
-        self._change(self.spark.createDataFrame([(0, int(id), None)], _SEQ))
+        self._change_one(int(id), None)
         return Status()
 
     def remove_batch(self, ids: DataFrame, id_col: str = "id") -> None:
@@ -183,6 +189,22 @@ class Collection:
             self._append(R.numbered(dense, self.next_lsn).select("lsn", "id", F.lit("DELETE").alias("op"), F.lit(None).cast("array<float>").alias("embedding")), n)
             self._change(rows.select(F.lit(0).cast("long").alias("seq"), "id", F.lit(None).cast("string").alias("metadata")))
 
+    def apply_batch(self, changes: DataFrame, pos_col: str) -> int:
+        """Insertions and removals, ``changes(id, op, embedding)`` in the order of ``pos_col``, as one commit; how many there were.
+
+        Vectors of another size fail the call as a whole. ``changes`` must give the same rows each time it is computed.
+        """
+        rows = changes.select(F.col(pos_col).cast("long").alias("pos"), F.col("id").cast("long").alias("id"), "op", F.col("embedding").cast("array<float>").alias("embedding"))
+        ok = (F.col("op") == "DELETE") | ((F.col("op") == "INSERT") & (F.size("embedding") == self.dimension))
+        n, good = rows.agg(F.count("*"), F.count_if(ok & F.col("id").isNotNull())).first()
+        if good != n:
+            raise EngineError(Code.DIMENSION_MISMATCH, f"{n - good} of {n} changes are no removals and no vectors of {self.dimension} dimensions")
+        if n:
+            self._append(R.numbered(rows, self.next_lsn).select("lsn", "id", "op", F.when(F.col("op") == "INSERT", F.col("embedding")).alias("embedding")), n)
+            gone = R.last_writer(rows.withColumnRenamed("pos", "lsn")).where("op = 'DELETE'")
+            self._change(gone.select(F.lit(0).cast("long").alias("seq"), "id", F.lit(None).cast("string").alias("metadata")))
+        return n
+
     def _append(self, rows: DataFrame, n: int) -> None:
         """One commit of ``n`` records; the counters move only if it is written."""
         shift = self.next_txid - self.next_lsn
@@ -193,7 +215,7 @@ class Collection:
 
     def set_metadata(self, id: int, metadata: dict[str, M.Value]) -> None:
         """Replace the whole map of ``id``, which needn't exist. It is not in the log: until a save, it lives in this handle."""
-        self._change(self.spark.createDataFrame([(0, int(id), M.dumps(metadata))], _SEQ))
+        self._change_one(int(id), M.dumps(metadata))
 
     def set_metadata_batch(self, rows: DataFrame) -> None:
         """Maps of many ids, ``(id, metadata)`` with JSON text; any that isn't a flat object makes the call fail as a whole."""
@@ -202,32 +224,93 @@ class Collection:
             raise EngineError(Code.INVALID_ARGUMENT, "metadata must be flat JSON objects")
         self._change(rows)
 
+    def _change_one(self, id: int, metadata: str | None) -> None:
+        self._seq += 1
+        self._single[id] = (self._seq, id, metadata)
+        if len(self._single) == SINGLES:
+            self._fold()
+
     def _change(self, rows: DataFrame) -> None:
         self._seq += 1
-        rows = rows.withColumn("seq", F.lit(self._seq).cast("long"))
-        self._changes = rows if self._changes is None else self._changes.unionByName(rows)
+        self._changes.append(rows.withColumn("seq", F.lit(self._seq).cast("long")))
+        if len(self._changes) == FRAMES:
+            self._fold()
+
+    def _all_changes(self) -> DataFrame | None:
+        """(seq, id, metadata) of everything since the last save."""
+        frames = [*self._changes, *([self.spark.createDataFrame(list(self._single.values()), _SEQ)] if self._single else [])]
+        return reduce(DataFrame.unionByName, frames) if frames else None
+
+    def _fold(self) -> None:
+        """The changes so far as one written table, so that plans stay small however many calls there are."""
+        last = self._all_changes().groupBy("id").agg(F.max("seq").alias("seq"), F.max_by(F.struct("metadata"), "seq").alias("m"))
+        self._changes, self._single = [kept(last.select("seq", "id", "m.metadata"))], {}
 
     # -- searches ----------------------------------------------------------------------------------------------------
 
     def search(self, query: Sequence[float], k: int, ef: int | None = None) -> DataFrame:
-        """(rank, id, score). Search is exact, so ``ef`` changes nothing; see ``operators.ann`` for searches that it steers."""
-        return S.knn(self.live_view(), query, k, self.metric, self.dimension)
+        """(rank, id, score); as ``search_batch`` for one query."""
+        if ef is None or self._index is None:
+            return S.knn(self.live_view(), query, k, self.metric, self.dimension)
+        one = self.spark.createDataFrame([(0, [float(x) for x in query])], "qid long, qv array<float>")
+        return self.search_batch(one, k, ef).drop("qid")
 
     def query(self, query: Sequence[float], k: int, ef: int | None = None) -> DataFrame:
         """(rank, id, score, metadata)."""
         return S.with_metadata(self.search(query, k, ef), self.metadata())
 
     def search_batch(self, queries: DataFrame, k: int, ef: int | None = None) -> DataFrame:
-        """(qid, rank, id, score) for ``queries(qid, qv)``; one of another dimension fails the call."""
-        return S.knn_batch(self.live_view(), queries, k, self.metric, self.dimension)
+        """(qid, rank, id, score) for ``queries(qid, qv)``; one of another dimension fails the call.
+
+        Exact without ``ef``. With it, and once there is an index, about ``ef`` of the index's vectors are looked at for each
+        query, and all that changed since the index was written.
+        """
+        if ef is None or self._index is None:
+            return S.knn_batch(self.live_view(), queries, k, self.metric, self.dimension)
+        S.check_queries(queries, self.dimension)
+        last = self._since_index()
+        if last is None:
+            return ann.search(self._index, queries, k, ef)
+        old = ann.search(self._index, queries, k, ef, without=last.select("id"))
+        new = S.knn_batch(last.where("op = 'INSERT'").select("id", "embedding"), queries, k, self.metric)
+        return S.ranked(old.drop("rank").unionByName(new.drop("rank")), k, self.metric)
+
+    # -- the index ---------------------------------------------------------------------------------------------------
+
+    def _since_index(self) -> DataFrame | None:
+        """Each id's last change after the index was written."""
+        log = self.log()
+        return None if log is None else R.last_writer(R.pending(log, self._index.lsn))
+
+    def create_index(self, cells: int | None = None) -> ann.Index:
+        """Index the vectors as they are now, in place of any index before; searches with ``ef`` use it from now on.
+
+        Each save brings it up to date: changed vectors go to their cells, and it is built anew when a fifth of it is out of date.
+        """
+        version = self.meta.index + 1
+        built = ann.build(self.live_view(), f"{self.path}/index/v={version}", self.metric, cells, lsn=self.next_lsn - 1)
+        before = self.meta.index
+        self._publish(replace(self.meta, index=version))
+        self._index = built
+        if before > 1:
+            self.files.delete(f"{self.path}/index/v={before - 1}")
+        return built
+
+    def _refresh_index(self) -> None:
+        last = self._since_index()
+        if last is not None and self._index.lsn < self.next_lsn - 1:
+            self._index = self._index.change(last.select("id", "lsn", "embedding"), self.next_lsn - 1)
+            if self._index.gone > STALE * self._index.rows:
+                self.create_index()
 
     # -- saving ------------------------------------------------------------------------------------------------------
 
     def save(self, path: str | None = None) -> None:
         """A new snapshot of vectors, tombstones and metadata, here or as a copy elsewhere.
 
-        The snapshot is written first, then meta.json points to it, then the commits that it holds are dropped; a crash in
-        between leaves the old state or the new one, and the log of this folder is only cut when this folder was saved.
+        The snapshot is written first, then meta.json points to it, then what only the snapshot before needed is dropped; a crash
+        in between leaves the old state or the new one, and the log of this folder is only cut when this folder was saved. A
+        copy has no index.
         """
         here = path is None or path.rstrip("/") == self.path
         to = self.path if here else path.rstrip("/")
@@ -236,20 +319,22 @@ class Collection:
             state = self.spark.createDataFrame([], "id long, embedding array<float>, deleted boolean")
         meta = self.metadata().withColumnRenamed("id", "__mid")
         rows = state.join(meta, state["id"] == meta["__mid"], "full").select(F.coalesce("id", "__mid").alias("id"), "embedding", F.col("deleted"), "metadata")
-        old = self.commits()
         version = (self.meta.snapshot if here else 0) + 1
         rows.write.mode("overwrite").parquet(f"{to}/snapshot/v={version}")
-        done = replace(self.meta, recovery=Recovery(self.next_lsn - 1, self.next_txid - 1, True), snapshot=version)
+        recovery = Recovery(self.next_lsn - 1, self.next_txid - 1, True)
         if not here:
-            self.files.write(f"{to}/meta.json", json.dumps(done.to_json(), indent=2).encode())
+            self.files.write(f"{to}/meta.json", json.dumps(replace(self.meta, recovery=recovery, snapshot=version, index=0).to_json(), indent=2).encode())
             return
-        before = self.meta.snapshot
-        self._publish(done)
-        self._changes = None
-        for c in old:
-            self.files.delete(c)
-        if before:
-            self.files.delete(f"{self.path}/snapshot/v={before}")
+        if self._index is not None:
+            self._refresh_index()
+        before = self.meta.recovery.last_lsn
+        self._publish(replace(self.meta, recovery=recovery, snapshot=version))
+        self._changes, self._single = [], {}
+        for name in self.files.names(f"{self.path}/log"):
+            if name.isdigit() and int(name) <= before:
+                self.files.delete(f"{self.path}/log/{name}")
+        if version > 2:
+            self.files.delete(f"{self.path}/snapshot/v={version - 2}")
 
     def close(self) -> None:
         """Save, if there is a path."""

@@ -2,20 +2,21 @@
 
 import struct
 import time
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Code, EngineError, Status
 from ..files import Files
 from ..types import MAX_DIMENSION
-from .ranges import dealt, each_range, listed, opened
+from .ranges import dealt, each_range, listed, opened, uri
 
 MAGIC, VERSION = 0x41574C01, 1
 OPS = {1: "COMMIT_TXN", 2: "ABORT_TXN", 3: "INSERT", 4: "DELETE", 5: "UPDATE", 6: "BATCH_INSERT"}
@@ -139,10 +140,39 @@ def _signed(n: int) -> int:
     return n
 
 
+def _even(data: bytes) -> pa.RecordBatch | None:
+    """All records at once, if they are whole, sound and of one dimension; None otherwise, and then it takes a look at each."""
+    if len(data) < _HEADER.size + _MIDDLE:
+        return None
+    (dimension,) = struct.unpack_from("<I", data, _HEADER.size + _MIDDLE - 5)
+    size = _MIDDLE + 4 * dimension + 4
+    if dimension > MAX_DIMENSION or (len(data) - _HEADER.size) % size:
+        return None
+    kind = np.dtype([("op", "<u2"), ("version", "<u2"), ("lsn", "<u8"), ("txid", "<u8"), ("header_crc", "<u4"), ("payload_length", "<u4"), ("id", "<u8"), ("dimension", "<u4"), ("padding", "u1"), ("embedding", "<f4", (dimension,)), ("payload_crc", "<u4")])
+    rows, view = np.frombuffer(data, kind, offset=_HEADER.size), memoryview(data)
+    if not (np.isin(rows["op"], list(OPS)).all() and (rows["dimension"] == dimension).all() and all((rows[c] < 1 << 63).all() for c in ("lsn", "txid", "id"))):
+        return None
+    for at, front, payload in zip(range(_HEADER.size, len(data), size), rows["header_crc"].tolist(), rows["payload_crc"].tolist(), strict=True):
+        if zlib.crc32(view[at : at + _FRONT.size]) != front or zlib.crc32(view[at + _MIDDLE : at + size - 4]) != payload:
+            return None
+    names = pa.array([OPS.get(k) for k in range(max(OPS) + 1)], pa.string())
+    cols = {c: pa.array(rows[c].astype(np.int64)) for c in ("lsn", "txid", "id", "header_crc", "payload_crc")}
+    cols |= dict(op=names.take(pa.array(rows["op"].astype(np.int64))), version=pa.array(rows["version"].astype(np.int32)), dimension=pa.array(rows["dimension"].astype(np.int32)))
+    cols["payload_length"] = pa.array(np.full(len(rows), 4 * dimension, np.int64))
+    cols["embedding"] = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dimension), pa.array(np.ascontiguousarray(rows["embedding"]).ravel()))
+    return pa.RecordBatch.from_arrays([cols[f.name] for f in _ARROW], schema=_ARROW)
+
+
 def _read(tolerate: bool):
     def read(r: dict) -> Iterator[pa.RecordBatch]:
         with opened(r["path"]) as f:
             data = f.read()
+        even = _even(data)
+        if even is not None:
+            parse_header(data)
+            for i in range(0, even.num_rows, 8192):
+                yield even.slice(i, 8192)
+            return
         rows: list[dict] = []
         for e in entries(data, tolerate):
             rows.append(dict(lsn=_signed(e.lsn), txid=_signed(e.txid), op=e.op, version=e.version, id=_signed(e.id), dimension=e.dimension, embedding=list(e.embedding), payload_length=4 * e.dimension, header_crc=e.header_crc, payload_crc=e.payload_crc))
@@ -189,18 +219,48 @@ def encode(rows: DataFrame) -> DataFrame:
     return rows.select("lsn", "txid", "op", "id", "embedding").mapInArrow(run, "lsn long, record binary")
 
 
+def _write_part(folder: str):
+    schema = pa.schema([("part", pa.int32()), ("name", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        part = TaskContext.get().partitionId()
+        system, at = fs.FileSystem.from_uri(folder)
+        name = f"{part:06d}-{uuid.uuid4().hex}"  # a task that is tried again doesn't meet its own remains
+        with system.open_output_stream(f"{at}/{name}") as f:
+            for b in batches:
+                for record in b.column(0):
+                    f.write(record.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name])], schema=schema)
+
+    return run
+
+
 def write_log(rows: DataFrame, path: str, created: int | None = None, flags: int = 0) -> None:
-    """One log file in the order of ``lsn``. Records pass through the driver one partition at a time."""
+    """One log file in the order of ``lsn``: tasks write their ranges of it, whose bytes are then put one after the other."""
     spark = rows.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    parts = system.makeQualified(target.suffix(f".parts-{uuid.uuid4().hex}"))
+    system.mkdirs(parts)
     try:
-        out.write(Header(flags=flags, created=int(time.time()) if created is None else created).checked().pack())
-        for r in encode(rows).orderBy("lsn").select("record").toLocalIterator(prefetchPartitions=True):
-            out.write(bytes(r["record"]))
-        out.hsync()
+        written = encode(rows).orderBy("lsn").select("record").mapInArrow(_write_part(uri(parts.toString())), "part int, name string").collect()
+        out = system.create(target, True)
+        try:
+            out.write(Header(flags=flags, created=int(time.time()) if created is None else created).checked().pack())
+            for _, name in sorted(tuple(r) for r in written):
+                piece = system.open(jvm.org.apache.hadoop.fs.Path(parts, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, conf, False)
+                finally:
+                    piece.close()
+            out.hsync()
+        finally:
+            out.close()
     finally:
-        out.close()
+        system.delete(parts, True)
 
 
 def dump(rows: DataFrame) -> DataFrame:
@@ -220,10 +280,12 @@ def record_status(rows: DataFrame) -> Column:
 
 
 def payload_crc(vector: Column) -> Column:
-    """CRC-32 of a vector's bytes."""
+    """CRC-32 of a vector's bytes; of none for a null."""
 
-    @F.pandas_udf("long")
-    def crc(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: zlib.crc32(np.asarray([] if v is None else v, "<f4").tobytes()))
+    @F.arrow_udf("long")
+    def crc(vectors: pa.Array) -> pa.Array:
+        data = memoryview(vectors.values.fill_null(0).to_numpy(zero_copy_only=False).astype("<f4")).cast("B")
+        ends = vectors.offsets.to_numpy() * 4
+        return pa.array([zlib.crc32(data[i:j]) for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.int64())
 
-    return crc(vector)
+    return crc(vector.cast("array<float>"))

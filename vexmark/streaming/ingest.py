@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import replay as R
 from ..plans.collection import Collection
 
 CHANGES = "lsn long, id long, op string, embedding array<float>"
+REJECTED = CHANGES + ", status string, message string"
+COMPACT_AFTER = 32
 
 
 def read_changes(spark: SparkSession, path: str, schema: str = CHANGES, max_files: int = 64) -> DataFrame:
@@ -16,30 +19,90 @@ def read_changes(spark: SparkSession, path: str, schema: str = CHANGES, max_file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def into_collection(changes: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
-    """Apply ``changes(lsn, id, op, embedding)`` as they come, in the order of ``lsn`` within a batch.
+class Applied:
+    """What a stream did to a collection, kept beside it, so that files may come in any order and batches may run again.
 
-    Source LSNs that were applied before are left out, so a batch that runs again after a failure changes nothing twice.
-    That mark is the largest source LSN of earlier batches, kept beside the collection.
+    <dir>/applied/b=<batch>/changes    the batch's changes that counted, with their source LSNs
+    <dir>/applied/b=<batch>/rejected   its rows that can't be applied, with their status
+    <dir>/applied/b=<batch>/done       the changes are in the collection's log
+    <dir>/applied/base=<batch>         (id, lsn) of all batches up to this one; their own changes are then dropped
     """
-    mark = f"{collection.path}/applied"
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        files = collection.files
-        before = int(files.read(mark).decode().split()[0]) if files.exists(mark) else -1
-        new = batch.where(F.col("lsn") > before).groupBy("id").agg(F.max_by(F.struct("lsn", "op", "embedding"), "lsn").alias("c")).select("id", "c.*")
-        new = new.persist()
+    def __init__(self, collection: Collection) -> None:
+        self.collection, self.files, self.spark = collection, collection.files, collection.spark
+        self.folder = f"{collection.path}/applied"
+
+    def _numbers(self, kind: str, mark: str) -> list[int]:
+        names = [n for n in self.files.names(self.folder) if n.startswith(f"{kind}=")]
+        return [int(n.split("=")[1]) for n in names if self.files.exists(f"{self.folder}/{n}/{mark}")]
+
+    def _batch(self, number: int) -> str:
+        return f"{self.folder}/b={number:010d}"
+
+    def marks(self) -> DataFrame | None:
+        """(id, lsn): the largest source LSN applied to each id; None before the first batch."""
+        bases = self._numbers("base", "_SUCCESS")
+        after = max(bases, default=-1)
+        paths = [f"{self._batch(n)}/changes" for n in self._numbers("b", "done") if n > after]
+        paths += [f"{self.folder}/base={n:010d}" for n in bases[-1:]]
+        return self.spark.read.schema("id long, lsn long").parquet(*paths).groupBy("id").agg(F.max("lsn").alias("lsn")) if paths else None
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """One batch: of each id the valid change with the largest LSN, if that is larger than any applied to the id before."""
+        here = self._batch(number)
+        if self.files.exists(f"{here}/done"):
+            return
+        if not self.files.exists(f"{here}/changes/_SUCCESS"):
+            self._decide(batch, here)
+        changes = self.spark.read.schema(CHANGES).parquet(f"{here}/changes")
+        self.collection.apply_batch(changes, "lsn")
+        self.files.write(f"{here}/done", b"")
+        if len(self._numbers("b", "done")) > COMPACT_AFTER:
+            self.compact(number)
+
+    def _decide(self, batch: DataFrame, here: str) -> None:
+        rows = R.batch_status(batch.select("lsn", F.col("id").cast("long").alias("id"), "op", "embedding"), self.collection.dimension)
+        known = F.col("id").isNotNull() & F.col("lsn").isNotNull() & F.col("op").isin(*R.REPLAYED)
+        good = known & ((F.col("op") == "DELETE") | (F.col("status") == "kOk"))
+        rows = rows.persist()
         try:
-            top = new.agg(F.max("lsn")).first()[0]
-            if top is None:
-                return
-            collection.insert_batch(new.where("op = 'INSERT'").select("lsn", "id", "embedding"), "lsn")
-            collection.remove_batch(new.where("op = 'DELETE'"))
-            files.write(mark, str(top).encode())
+            message = F.when(known, F.col("message")).otherwise("a change needs an id, an lsn and an operation")
+            bad = rows.where(~good | good.isNull()).withColumns({"status": F.when(known, F.col("status")).otherwise("kInvalidArgument"), "message": message})
+            bad.select("lsn", "id", "op", "embedding", "status", "message").write.mode("overwrite").parquet(f"{here}/rejected")
+            last = rows.where(good).groupBy("id").agg(F.max_by(F.struct("lsn", "op", "embedding"), "lsn").alias("c")).select("id", "c.*")
+            marks = self.marks()
+            if marks is not None:
+                last = last.join(marks.withColumnRenamed("lsn", "mark"), "id", "left").where("mark IS NULL OR lsn > mark")
+            last.select("lsn", "id", "op", F.when(F.col("op") == "INSERT", F.col("embedding")).alias("embedding")).write.mode("overwrite").parquet(f"{here}/changes")
         finally:
-            new.unpersist()
+            rows.unpersist()
 
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def compact(self, number: int) -> None:
+        """One table of marks for all batches up to ``number``."""
+        done, bases = [n for n in self._numbers("b", "done") if n <= number], self._numbers("base", "_SUCCESS")
+        self.marks().write.mode("overwrite").parquet(f"{self.folder}/base={number:010d}")
+        for n in done:
+            if n < number:  # the last batch may be asked for again
+                self.files.delete(f"{self._batch(n)}/changes")
+                self.files.delete(f"{self._batch(n)}/done")
+        for n in bases:
+            if n < number:
+                self.files.delete(f"{self.folder}/base={n:010d}")
+
+    def rejected(self) -> DataFrame:
+        """(lsn, id, op, embedding, status, message): all rows that could not be applied."""
+        paths = [f"{self.folder}/{n}/rejected" for n in self.files.names(self.folder) if n.startswith("b=") and self.files.exists(f"{self.folder}/{n}/rejected/_SUCCESS")]
+        return self.spark.read.schema(REJECTED).parquet(*paths) if paths else self.spark.createDataFrame([], REJECTED)
+
+
+def into_collection(changes: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
+    """Apply ``changes(lsn, id, op, embedding)`` as they come.
+
+    Of the changes of an id the one with the largest LSN counts, in whatever order the files arrive and however they fall into
+    batches. A batch that runs again after a failure is the same batch, and does nothing if it was done. Rows with a vector
+    of another size, or without an id, an LSN or a known operation, are kept for ``Applied(collection).rejected()``.
+    """
+    return changes.writeStream.foreachBatch(Applied(collection).apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(changes: DataFrame, time_col: str = "ts", window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

@@ -85,6 +85,7 @@ class CollectionMeta:
     options: IndexOptions = field(default_factory=IndexOptions)
     recovery: Recovery = field(default_factory=Recovery)
     snapshot: int = 0
+    index: int = 0
 
     def to_json(self) -> dict[str, Any]:
         c, o, r = self.config, self.options, self.recovery
@@ -92,6 +93,7 @@ class CollectionMeta:
         out["hnsw"] = dict(maxElements=o.max_elements, M=o.m, efConstruction=o.ef_construction, efSearch=o.ef_search)
         out["recovery"] = dict(lastPersistedLsn=r.last_lsn, lastPersistedTxid=r.last_txid, cleanShutdown=r.clean_shutdown)
         out["snapshotVersion"] = self.snapshot
+        out["indexVersion"] = self.index
         return out
 
     @classmethod
@@ -105,4 +107,4 @@ class CollectionMeta:
         config = CollectionConfig(doc["name"], int(doc["dimensions"]), parse_enum(Metric, doc["metric"]), parse_enum(DataType, doc["dtype"]), parse_enum(IndexType, doc["idxType"]))
         o, r, base = doc.get("hnsw", {}), doc.get("recovery", {}), asdict(IndexOptions())
         options = IndexOptions(o.get("maxElements", base["max_elements"]), o.get("M", base["m"]), o.get("efConstruction", base["ef_construction"]), o.get("efSearch", base["ef_search"]))
-        return cls(config, options, Recovery(r.get("lastPersistedLsn", 0), r.get("lastPersistedTxid", 0), r.get("cleanShutdown", False)), doc.get("snapshotVersion", 0))
+        return cls(config, options, Recovery(r.get("lastPersistedLsn", 0), r.get("lastPersistedTxid", 0), r.get("cleanShutdown", False)), doc.get("snapshotVersion", 0), doc.get("indexVersion", 0))
