@@ -529,6 +529,7 @@ def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", t
     if model is not None:
         return rows_.mapInArrow(_score(spark.sparkContext.broadcast(model)), ddl(_SCORES))
     shared = spark.sparkContext.broadcast(train(docs, text_col, rounds, group))
-    spread = rows_.mapInArrow(_spread(shared), ddl(_SPREAD)).repartition("grp").sortWithinPartitions("grp")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = rows_.mapInArrow(_spread(shared), ddl(_SPREAD)).repartitionById(tasks, F.pmod("grp", F.lit(tasks)).cast("int")).sortWithinPartitions("grp")
     sums = spread.mapInArrow(_add, ddl(_ADDED)).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("log_prob").alias("log_prob"))
     return sums.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.exp(-F.col("log_prob") / F.col("n_words"))).alias("perplexity"))
