@@ -4,8 +4,9 @@
 or those of a public tokenizer's vocabulary file if ``tokenizer_path`` names one. A document longer than ``capacity`` is
 cut into pieces of that length, which fill bins of their own, and one shorter piece.
 
-*Shards.* Documents are dealt by hash of doc_id into shards of about ``shard_docs``; only ids and lengths are shuffled, and
-shards are packed independently, so cost is linear in the input and the loss is below one bin a shard.
+*Shards.* Documents are dealt by hash of doc_id into shards of about ``shard_docs`` of them or, if they are short, of
+``shard_bytes`` of text, so that a shard fills some five hundred bins; only ids and lengths are shuffled, and shards are packed
+independently, so cost is linear in the input and the loss is below one bin a shard.
 
 *Packing.* Best-fit decreasing first. Then local search between bins that aren't full: starting from the emptiest, a piece
 moves to another bin, or one or two pieces go there in exchange for one smaller than them, whenever that makes the sum of
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textcore as T
 from .line_dedup import ddl
 
-CAPACITY, SHARD_DOCS = 2048, 2048
+CAPACITY, SHARD_DOCS, SHARD_BYTES = 2048, 2048, 4 << 20
 _LENGTHS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("deal", pa.int64())])
 _BINS = pa.schema([("bin_id", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 _SIGN = T.NONSPACE & ~T.WORD
@@ -220,14 +221,15 @@ def _shards(capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bin_id, n_tokens, doc_ids, starts, lengths): the training sequences, with their pieces' documents and token spans.
 
     Every token of every row is in exactly one bin; no bin exceeds ``capacity``. Null, empty and blank texts have no tokens
     and are in no bin; a row without an id is packed as any other, with a null in ``doc_ids``. Repeated rows are packed each.
     Other columns are not read. An empty table gives no bins.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
+    shards = max(1, min(-(-count // shard_docs), -(-(size or 0) // shard_bytes)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lengths = rows.mapInArrow(_lengths(tokenizer_path), ddl(_LENGTHS)).where("n_tokens > 0")
     dealt = lengths.select(F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard"), "doc_id", "n_tokens").repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens")
