@@ -218,6 +218,12 @@ def test_wide_blocks_give_the_same_groups(spark):
     assert sorted(simhash.near_duplicate_groups(df, wide=0).collect()) == sorted(simhash.near_duplicate_groups(df).collect())
 
 
+@pytest.mark.parametrize("piece", [7, 40])
+def test_hot_buckets_in_pieces_give_the_same_groups(spark, piece):
+    df = frame(spark, near_copies(random.Random(8), 40, 12)[0]).repartition(3)
+    assert sorted(simhash.near_duplicate_groups(df, piece=piece).collect()) == sorted(simhash.near_duplicate_groups(df).collect())
+
+
 def test_large_buckets_connect_the_same_rows():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 256, (12, 32), dtype=np.uint8)

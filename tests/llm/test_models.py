@@ -75,7 +75,7 @@ def test_packing_keeps_every_token(spark):
     texts = [" ".join("w" for _ in range(rng.choice([0, 1, 5, 40, 99, 100, 101, 250]))) + rng.choice(["", " .", "!!"]) for _ in range(300)]
     for shard in (7, 1000):
         spans = {}
-        for r in packing.pack_documents(frame(spark, texts).repartition(3), capacity=100, shard_docs=shard).collect():
+        for r in packing.pack_documents(frame(spark, texts).repartition(3), capacity=100, shard_docs=shard, shard_bytes=1).collect():
             assert r.n_tokens == sum(r.lengths) <= 100 and len(r.doc_ids) == len(r.starts) == len(r.lengths)
             for d, s, n in zip(r.doc_ids, r.starts, r.lengths, strict=True):
                 spans.setdefault(d, []).append((s, n))
@@ -89,6 +89,12 @@ def test_packing_keeps_every_token(spark):
     assert bins <= 1.02 * sum(len(re.findall(r"\w+|[^\w\s]", t)) for t in texts) / 100 + 2
 
 
+def test_short_texts_fill_their_shards(spark):
+    texts = ["some twenty tokens " * 7] * 3000
+    whole = packing.pack_documents(frame(spark, texts), capacity=2048, shard_docs=100)
+    assert whole.count() == -(-3000 * 21 // (2048 // 21 * 21))
+
+
 @pytest.mark.parametrize("path", sorted(glob.glob(os.environ.get("TOKENIZER_FILES", "/opt/tokenizers/*.json"))))
 def test_packing_by_a_public_tokenizer(spark, path):
     from tokenizers import Tokenizer
@@ -293,6 +299,48 @@ def test_trees_match_a_walk_by_hand():
     assert np.allclose(p, 1 / (1 + np.exp(-z))) and ((p > 0.5) == y).mean() > 0.97
 
 
+def test_first_split_is_the_best_of_all():
+    """The root of the first tree, by trying every threshold of every feature."""
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        x = rng.integers(0, 12, (300, 4)).astype(np.float32)
+        y = (rng.random(300) < 0.2 + 0.5 * (x[:, rng.integers(4)] > rng.integers(2, 9))).astype(float)
+        p = y.mean()
+        g, h = y - p, np.full(len(y), p * (1 - p))
+
+        def score(side):
+            return g[side].sum() ** 2 / (h[side].sum() + quality.L2)
+
+        gains = {(j, t): score(x[:, j] <= t) + score(x[:, j] > t) - score(np.ones(len(y), bool)) for j in range(4) for t in np.unique(x[:, j])[:-1] if min(h[x[:, j] <= t].sum(), h[x[:, j] > t].sum()) >= quality.MIN_CHILD * 0.1}
+        m = quality.boost(x, y, trees=1, depth=1)
+        f, t = int(m.feature[0, 0]), float(m.threshold[0, 0])
+        assert gains[f, t] == pytest.approx(max(gains.values()))
+        for leaf, side in enumerate((x[:, f] <= t, x[:, f] > t)):
+            assert m.value[0, leaf] == pytest.approx(quality.RATE * g[side].sum() / (h[side].sum() + quality.L2))
+
+
+def test_statistics_match_a_naive_count():
+    texts = ["The cat sat.\nOn THE mat mat mat! 12 $5 a|b", "", "é ñandú\n\nx y z", "Superextraordinarily long wordsinthistext"]
+    buf, off = T.utf8(pa.array(texts))
+    stats, (before, h, *_) = quality.statistics(buf, off)
+    for t, row in zip(texts, stats, strict=True):
+        got, b = dict(zip(quality.STATS, row.tolist(), strict=True)), t.encode()
+        toks = [x.decode() for x in re.findall(rb"[0-9A-Za-z\x80-\xff]+", b)]
+        low, w, d, lines = [x.encode().lower() for x in toks], max(len(toks), 1), max(len(b), 1), t.split("\n")
+        per_line = [len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", x.encode())) for x in lines]
+        want = dict(log_bytes=math.log1p(len(b)), log_words=math.log1p(len(toks)), log_lines=math.log1p(len(lines)), word_bytes=sum(len(x.encode()) for x in toks) / w,
+                    upper=sum(65 <= c < 91 for c in b) / d, digit=sum(48 <= c < 58 for c in b) / d, space=sum(c in b"\t\n " for c in b) / d, high=sum(c >= 128 for c in b) / d, pipe=b.count(b"|") / d,
+                    caps_words=sum(sum(65 <= c < 91 for c in x.encode()) >= 2 for x in toks) / w, short_words=sum(len(x.encode()) <= 2 for x in toks) / w, long_words=sum(len(x.encode()) >= 14 for x in toks) / w,
+                    distinct=len(set(low)) / w, repeat_next=sum(x == y for x, y in zip(low, low[1:])) / w, repeat_top=max((low.count(x) for x in low), default=0) / w, words_a_line=len(toks) / len(lines), short_lines=sum(0 < n < 4 for n in per_line) / len(lines))
+        assert all(got[k] == pytest.approx(v, abs=1e-5) for k, v in want.items())
+    odds = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
+    lean = quality.leans(before, [quality.bucket(h)], [odds])
+    for i in range(len(texts)):
+        x = [float(odds[int(v) % quality.BUCKETS]) for v in h[before[i] : before[i + 1]].tolist()]
+        strong = [max(v - quality.STRONG, 0) for v in x]
+        assert np.allclose(lean[i], [sum(x) / len(x), max(x), min(x), sum(strong), sum(v > 0 for v in strong) / len(x)] if x else [0] * 5, atol=1e-5)
+
+
 def test_classifier_on_held_out_labels(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -351,6 +399,44 @@ def test_gradients_match_differences():
             assert g.reshape(-1)[k] == pytest.approx((up - down) / (2 * e), rel=0.08, abs=2e-4)
 
 
+def test_labels_match_a_naive_network():
+    """Every byte's label and the documents' mean log-probabilities, one cell and one step at a time."""
+    net = langid.Network.fresh(["a", "b", "c"], seed=3)
+    texts = ["Short", "", "x" * 63 + "Yz" * 40, "ñandú 🙂"]
+    buf, off = T.utf8(pa.array(texts))
+    logp, labelled = langid.label_block(net, buf, off)
+    cells, sigmoid = net.recur.shape[-1], lambda x: 1 / (1 + math.exp(-x))
+
+    def walk(symbols, direction):
+        h, out = [0.0] * cells, []
+        for s in symbols:
+            u = [[sum(h[i] * float(net.recur[g, direction, i, c]) for i in range(cells)) for c in range(cells)] for g in range(3)]
+            r, z = ([sigmoid(float(net.inputs[g, direction, s, c]) + u[g][c]) for c in range(cells)] for g in (0, 1))
+            new = [math.tanh(float(net.inputs[2, direction, s, c]) + r[c] * u[2][c]) for c in range(cells)]
+            h = [z[c] * h[c] + (1 - z[c]) * new[c] for c in range(cells)]
+            out.append(h)
+        return out
+
+    for d, t in enumerate(texts):
+        sums, count, low = np.zeros(3), np.zeros(3, int), bytes(c + 32 if 65 <= c < 91 else c for c in t.encode())
+        for i in range(0, len(low), langid.WINDOW):
+            w = low[i : i + langid.WINDOW]
+            for f, b in zip(walk(w, 0), walk(w[::-1], 1)[::-1], strict=True):
+                z = np.array(f) @ net.out[:cells] + np.array(b) @ net.out[cells:] + net.bias
+                z -= np.log(np.exp(z).sum())
+                sums += z
+                count[z.argmax()] += 1
+        assert np.allclose(logp[d], sums / max(len(low), 1), atol=1e-4) and labelled[d].tolist() == count.tolist()
+
+
+def test_equal_probabilities_go_to_the_first_language(spark):
+    net = langid.Network.fresh(["de", "en"])
+    for p in net.params():
+        p[:] = 0
+    got = langid.identify(frame(spark, ["any text"]), net).first()
+    assert (got.lang, got.probability, got.bytes_de, got.bytes_en) == ("de", 0.5, 8, 0)
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     net = langid.train(docs.where("doc_id % 4 <> 0"))
