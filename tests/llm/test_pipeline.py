@@ -1,11 +1,16 @@
 import math
+import random
+import re
 
 import duckdb
-from test_dedup import clashing, odd
+import numpy as np
+import pyarrow as pa
+from test_dedup import brute_lines, brute_tiles, clashing, odd
 
 import corpus_pipeline
 from vexmark.llm import decontam, quality, simhash
 from vexmark.llm import queries as Q
+from vexmark.llm import textcore as T
 
 
 def cell(x):
@@ -46,6 +51,80 @@ def test_run_packs_what_the_stages_keep(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "simhash near-dedup", "benchmark decontamination", "best-fit packing"]
 
 
+def brute_exact_lines(docs):
+    """``brute_lines`` with short lines and lines of mostly fields as templates of their own."""
+    out = brute_lines(docs)
+    at = {}
+    for d, t in docs.items():
+        for no, line in enumerate(t.split("\n")):
+            toks = line.split()
+            lit = sum(not re.search(r"\d", x) for x in toks)
+            if toks and not (lit >= 3 and 2 * lit >= len(toks)) and (lit == len(toks) or re.search(r"[^\W\d_]", line)):
+                at.setdefault(tuple(toks), []).append((d, no, line))
+    for places in at.values():
+        if len({d for d, *_ in places}) > 1:
+            for d, _, line in sorted(places)[1:]:
+                kept = out[d].split("\n")
+                kept.remove(line)
+                out[d] = "\n".join(kept)
+    return out
+
+
+def brute_copies(docs):
+    """The smallest doc_id of each component of pairs within the largest distance, from all pairs."""
+    ids = [d for d in docs if re.search(r"\w", docs[d])]
+    buf, off = T.utf8(pa.array([docs[d] for d in ids]))
+    fp = simhash.fingerprint(buf, off, simhash._signs())[0].view(np.uint64)
+    far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    root = {d: d for d in docs}
+    for i, d in enumerate(ids):
+        for j, e in enumerate(ids[:i]):
+            if far[i, j] <= simhash.MAX_DISTANCE and root[d] != root[e]:
+                low, high = sorted((root[d], root[e]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_run_matches_brute_force(spark, tmp_path):
+    """Documents with every kind of fault, through plain versions of all stages; only the classifier's model is the operator's own."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+
+    def line():
+        return " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4, 14)))
+
+    item = " ".join(rng.choice(vocabulary) for _ in range(30))
+    docs = {d: "\n".join(line() for _ in range(rng.randrange(1, 12))) for d in range(150)}
+    for d in range(10):
+        docs[200 + d] = "#$%& @@ || 12 99 $$ " * 20 + f"{d}"  # bad
+        docs[220 + d] = docs[d].replace("\n", f" {vocabulary[d]}\n", 1) if "\n" in docs[d] else docs[d]  # near copies
+        docs[240 + d] = docs[20 + d] + "\nAll rights reserved.\nshared notice of the site owner here"
+        docs[260 + d] = " ".join([docs[40 + d], *item.split()[15:], "between", *item.split()[:15]])  # reordered
+    docs |= {300: "", 301: docs[60], 302: docs[60]}
+    spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int(not 200 <= d < 210), 0) for d in docs if d % 2], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = {r.doc_id for r in quality.classify(table, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("keep").collect()}
+    left = {d: t for d, t in docs.items() if d in good}
+    assert not good & set(range(200, 210)) and len(left) > 180
+    cut = brute_exact_lines(left)
+    lost = {d: left[d].count("\n") - cut[d].count("\n") + (cut[d] == "" != left[d]) for d in left}
+    left = {d: t for d, t in cut.items() if not lost[d] or (t and (lost[d] < 4 or len(t) >= 0.5 * len(docs[d])))}
+    root = brute_copies(left)
+    left = {d: t for d, t in left.items() if root[d] == d}
+    tokens = item.split()
+    left = {d: t for d, t in left.items() if brute_tiles(tokens, t.lower().split(), 5) < 0.5 * len(tokens)}
+    want = {d: len(re.findall(r"\w+|[^\w\s]", t)) for d, t in left.items() if t.strip()}
+    have = {}
+    for r in got:
+        assert r.n_tokens == sum(r.lengths) <= 2048
+        for d, n in zip(r.doc_ids, r.lengths, strict=True):
+            have[d] = have.get(d, 0) + n
+    assert have == want and not set(want) & set(range(260, 270)) and 302 not in want
+
+
 def test_stages_take_odd_documents(spark, sf):
     for docs in (odd(spark), clashing(odd(spark)), odd(spark).limit(0)):
         for name, stage in corpus_pipeline.STAGES:

@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import textcore as T
 from .line_dedup import ddl
@@ -196,7 +195,7 @@ def _clean(shared, coverage: float):
                 keep[[i + r for r, _, _ in covered(items, buf, off, coverage)]] = False
             yield pa.array(keep)
 
-    return F.arrow_udf(run, "boolean", ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(run, "boolean")
 
 
 def _slices(benchmark: DataFrame, min_match: int, broadcast_tokens: int, item_id_col: str, item_text_col: str) -> list:
