@@ -244,21 +244,25 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return np.frombuffer(col.buffers()[2], np.uint8)[: (col.offset + len(col)) * size][col.offset * size :].view(np.float16).reshape(-1, WIDTH).astype(F32)
 
 
-def _count(buckets: int):
+def _count(buckets: int, parts: int):
+    """Words by bucket, and contexts that have more than about one in 2 * ``parts`` of a task's words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, held, total = np.zeros(buckets, np.int64), [], 0
         for b in batches:
             for _, _, buf, off in T.text_blocks(b.column(0)):
                 _, _, before, h = T.word_hashes(buf, off)
                 n += np.bincount((h & T.U64(buckets - 1)).astype(np.int64), minlength=buckets)
-                u, k = np.unique(contexts(h, before), return_counts=True)
+                ctx, least = contexts(h, before), max(2, len(h) // (4 * parts))
+                slot = (ctx & T.U64(0xFFFF)).astype(np.int64)  # few slots have as many, so few contexts are sorted
+                u, k = np.unique(ctx[np.bincount(slot, minlength=1 << 16)[slot] >= least], return_counts=True)
                 total += len(h)
-                held.append((u[k > 1], k[k > 1]))
+                held.append((u[k >= least], k[k >= least]))
                 if len(held) == 64:
-                    held = [_merged(held, total // HOT)]
+                    held = [_merged(held, total // (4 * parts))]
         some = np.flatnonzero(n)
         yield T.batch(_COUNTS, kind=np.zeros(len(some), np.int32), key=some, n=n[some])
-        u, k = _merged(held, total // HOT)
+        u, k = _merged(held, total // (4 * parts))
         yield T.batch(_COUNTS, kind=np.ones(len(u), np.int32), key=T.signed(u), n=k)
 
     return run
@@ -315,7 +319,8 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, group:
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(MOST_BUCKETS, max(BUCKETS, 2 ** np.ceil(np.log2(max(size / 4, 1) ** 0.75)))))
-    counted = texts.mapInArrow(_count(buckets), ddl(_COUNTS)).groupBy("kind", "key").agg(F.sum("n").alias("n")).where(f"kind = 0 OR n > {group // 4}").toArrow()
+    parts = int(min(HOT, max(1, -(-size // group))))  # a word has four bytes or so, and a fourth of a group is too much
+    counted = texts.mapInArrow(_count(buckets, parts), ddl(_COUNTS)).groupBy("kind", "key").agg(F.sum("n").alias("n")).where(f"kind = 0 OR n > {group // 4}").toArrow()
     kind, key, n = (counted.column(c).to_numpy() for c in ("kind", "key", "n"))
     counts = np.zeros(buckets, np.int64)
     counts[key[kind == 0]] = n[kind == 0]
