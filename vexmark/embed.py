@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -51,14 +50,18 @@ class HashingEmbedder:
         self.dimensions = dimensions
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        table = _directions(self.dimensions)
+        """Distinct words of all texts are hashed once, and texts are sums over them by a product of a sparse table."""
+        found = [_WORD.findall(t.lower()) for t in texts]
+        size = np.array([len(w) for w in found], np.int64)
+        number: dict[str, int] = {}
+        at = np.fromiter((number.setdefault(w, len(number)) for words in found for w in words), np.int64, int(size.sum()))
+        h = np.fromiter((zlib.crc32(w.encode()) for w in number), np.int64, len(number))
+        direction = _directions(self.dimensions)[h % DIRECTIONS] * np.where(h >> 31 & 1, 1, -1).astype(np.float32)[:, None]
         out = np.zeros((len(texts), self.dimensions), np.float32)
-        for i, t in enumerate(texts):
-            n = Counter(_WORD.findall(t.lower()))
-            if n:
-                h = np.fromiter((zlib.crc32(w.encode()) for w in n), np.int64, len(n))
-                weight = np.fromiter(n.values(), np.float32, len(n)) * np.where(h >> 31 & 1, 1, -1)
-                out[i] = weight.astype(np.float32) @ table[h % DIRECTIONS] / n.total()
+        some, first = np.flatnonzero(size), np.cumsum(size) - size
+        for i in some:
+            w, n = np.unique(at[first[i] : first[i] + size[i]], return_counts=True)
+            out[i] = n.astype(np.float32) @ direction[w] / size[i]
         return normalize(out)
 
 

@@ -72,19 +72,24 @@ class Files:
         context.rename(beside, p, options)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the session's checkpoint folder; only a local session without one gets a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local session without one gets a temporary folder, a cluster's an error."""
     sc = spark.sparkContext
-    set_ = sc._jsc.sc().getCheckpointDir()
-    base = set_.get() if set_.isDefined() else sc.getConf().get("spark.checkpoint.dir")
-    if not base:
+    here = sc._jsc.sc().getCheckpointDir()
+    if here.isDefined():
+        return here.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="vexmark-scratch-")
-    if not set_.isDefined():
-        sc.setCheckpointDir(base)
-        base = sc._jsc.sc().getCheckpointDir().get()
-    return f"{base}/scratch-{uuid.uuid4().hex}"
+        folder = tempfile.mkdtemp(prefix="vexmark-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the session's shared folder."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
