@@ -1,26 +1,11 @@
-"""Connected components of an edge table, and the checkpoint folder that iterative jobs need."""
+"""Connected components of an edge table, with each round's edges in the session's shared checkpoint folder."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local session without one gets a temporary folder, a cluster's an error."""
-    sc = spark.sparkContext
-    here = sc._jsc.sc().getCheckpointDir()
-    if here.isDefined():
-        return here.get()
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="vexmark-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
+from ..files import shared_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
