@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..files import shared_folder
@@ -17,18 +17,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node of each node's component, for every node that has an edge in ``edges(a, b)``.
 
-    Alternating large-star and small-star steps, each one window over the edges; a round's edges are checkpointed, so an
-    executor lost later costs no recomputation of earlier rounds. The number of rounds grows with the logarithm of the
+    Alternating large-star and small-star steps, each the least neighbour of each node, aggregated before the shuffle and joined
+    to the edges, so that a node with a third of all edges is split by AQE and not one task's. A round's edges are
+    checkpointed, so an executor lost later costs no recomputation of earlier rounds. The number of rounds grows with the logarithm of the
     diameter. Raises if the components have not settled after ``max_rounds``.
     """
     e = checkpointed(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
-    by_u = Window.partitionBy("u")
     last = None
     for _ in range(max_rounds):
         both = e.union(e.selectExpr("v AS u", "u AS v"))
-        large = both.withColumn("m", F.least(F.min("v").over(by_u), "u")).where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
-        least = large.withColumn("m", F.min("v").over(by_u))
-        small = least.selectExpr("u", "m AS v").union(least.where("v <> m").selectExpr("v AS u", "m AS v")).where("u <> v").distinct()
+        m = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+        large = e.selectExpr("v AS u", "u AS w").join(m, "u").where("w <> m").selectExpr("w AS u", "m AS v").distinct()
+        m = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = m.selectExpr("u", "m AS v").union(large.join(m, "u").where("v <> m").selectExpr("v AS u", "m AS v")).where("u <> v").distinct()
         e = checkpointed(small)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
