@@ -40,7 +40,20 @@ def clashing(docs):
 # -- line dedup --------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(docs, leading=3, similarity=0.7, min_literals=3):
+def brute_leaves(lines, leading, limit):
+    """Each line's leading tokens, more of them where a leaf has more than ``limit`` lines."""
+    depth = dict.fromkeys(lines, leading)
+    for d in range(leading, 33, 2):
+        leaves = {}
+        for t in lines:
+            leaves.setdefault((len(t), depth[t], t[: depth[t]]), []).append(t)
+        large = [t for v in leaves.values() if len(v) > limit for t in v if depth[t] == d]
+        for t in large:
+            depth[t] = d + 2
+    return depth
+
+
+def brute_lines(docs, leading=3, similarity=0.7, min_literals=3, limit=10**9):
     """The documents' kept lines, by the definition: one tree, lines in order."""
     tree, places = {}, []
     order = {}
@@ -51,20 +64,20 @@ def brute_lines(docs, leading=3, similarity=0.7, min_literals=3):
             if lit >= min_literals and 2 * lit >= len(toks):
                 places.append((d, no, tuple(toks)))
                 order.setdefault(tuple(toks), (d, no))
-    found = {}
+    found, depth = {}, brute_leaves(list(order), leading, limit)
     for toks, _ in sorted(order.items(), key=lambda x: x[1]):
-        leaf = tree.setdefault((len(toks), toks[:leading]), [])
+        leaf = tree.setdefault((len(toks), depth[toks], toks[: depth[toks]]), [])
         rest = toks[leading:]
         best = max(range(len(leaf)), key=lambda k: (sum(a == b for a, b in zip(leaf[k], rest, strict=True)), -k), default=None)
         if not rest and leaf:
-            found[toks] = (len(toks), toks[:leading], 0)
+            found[toks] = (len(toks), depth[toks], toks[: depth[toks]], 0)
             continue
         if best is not None and sum(a == b for a, b in zip(leaf[best], rest, strict=True)) >= similarity * len(rest):
             leaf[best] = [a if a == b else None for a, b in zip(leaf[best], rest, strict=True)]
         else:
             leaf.append(list(rest))
             best = len(leaf) - 1
-        found[toks] = (len(toks), toks[:leading], best)
+        found[toks] = (len(toks), depth[toks], toks[: depth[toks]], best)
     at = {}
     for d, no, toks in places:
         at.setdefault(found[toks], []).append((d, no))
@@ -97,6 +110,18 @@ def test_lines_match_brute_force(spark):
     assert got == brute_lines(plain) and got != plain
 
 
+def test_large_leaves_are_divided_by_further_tokens(spark):
+    rng = random.Random(13)
+    docs = {d: "\n".join(" ".join(["start", "of", "line", *(rng.choice(["red", "blue"]) for _ in range(rng.choice([4, 9]))), rng.choice(["x", "y", "z"])]) for _ in range(8)) for d in range(30)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    seen = []
+    for limit in (1, 6, 40, 10**6):
+        got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(df, leaf_lines=limit).collect()}
+        assert got == brute_lines(docs, limit=limit)
+        seen.append(sum(map(len, got.values())))
+    assert seen[0] > seen[2] and seen[1] > seen[3]
+
+
 @pytest.mark.parametrize("similarity", [0.3, 0.7, 1.0])
 def test_a_large_leaf_grows_as_a_small_one(monkeypatch, similarity):
     rng = np.random.default_rng(8)

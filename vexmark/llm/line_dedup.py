@@ -7,6 +7,8 @@ agrees with it in most of the positions after the leading ones, if at least ``si
 positions that don't become wildcards; otherwise it starts a template. Ties go to the older template. Tokens are compared
 by 16-bit codes there, and equal lines by 64-bit hashes.
 
+A leaf with more than ``leaf_lines`` distinct lines is divided by its lines' next two tokens, and the parts again where need be.
+
 *Distribution.* Leaves are independent, so lines are shuffled by leaf and each partition grows its leaves one after the
 other from a sorted stream. Each Arrow batch sends an equal line once, so a line that a billion documents share costs a row
 a batch and no task sees all its occurrences; those are found by a join on the line's hash, which AQE can split.
@@ -28,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
+from .graph import checkpointed
 
 LEADING, SIMILARITY, MIN_LITERALS = 3, 0.7, 3
-SMALL_LEAF = 256
+SMALL_LEAF, LEAF_LINES, DEEPER, DEEPEST = 256, 1 << 20, 2, 33
 _WILD, _EXACT = T.U64(0x5851F42D4C957F2D), T.U64(0x2545F4914F6CDD1D)
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _DISTINCT = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("doc", pa.int64()), ("no", pa.int32()), ("last_doc", pa.int64()), ("codes", pa.binary())])
@@ -210,16 +213,31 @@ def _binary(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bufs[2], np.uint8), ends
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, exact: bool = False) -> DataFrame:
+def _divided(found: DataFrame, leading: int, leaf_lines: int) -> DataFrame:
+    """``found``, a written table of _DISTINCT, with leaves of more than ``leaf_lines`` distinct lines divided by further tokens."""
+    for depth in range(leading, DEEPEST, DEEPER):
+        many = checkpointed(found.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {leaf_lines}").select("leaf"))
+        if many.isEmpty():
+            break
+        # a line is there once for each batch that had it
+        large = checkpointed(found.join(many, "leaf", "left_semi").groupBy("leaf").agg(F.approx_count_distinct("line").alias("n")).where(f"n > {leaf_lines}").select(F.col("leaf").alias("large")))
+        if large.isEmpty():
+            break
+        deeper = F.xxhash64("leaf", F.substring("codes", 2 * depth + 1, 2 * DEEPER))
+        found = found.join(large, F.col("leaf") == F.col("large"), "left").withColumn("leaf", F.when(F.col("large").isNull(), F.col("leaf")).otherwise(deeper)).drop("large")
+    return found
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, exact: bool = False, leaf_lines: int = LEAF_LINES) -> DataFrame:
     """(doc, no): every line to drop, by doc_id and 0-based number; see ``drop_recurring_lines``."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    distinct = rows.mapInArrow(_distinct(leading, min_literals, exact), ddl(_DISTINCT))
-    recurring = distinct.repartition("leaf").sortWithinPartitions("leaf", "doc", "no", "line").mapInArrow(_recurring(leading, similarity), ddl(_RECURRING))
+    distinct = checkpointed(rows.mapInArrow(_distinct(leading, min_literals, exact), ddl(_DISTINCT)))
+    recurring = _divided(distinct, leading, leaf_lines).repartition("leaf").sortWithinPartitions("leaf", "doc", "no", "line").mapInArrow(_recurring(leading, similarity), ddl(_RECURRING))
     places = rows.mapInArrow(_places(leading, min_literals, exact), ddl(_PLACES))
     return places.join(recurring, "line").where("doc <> keep_doc OR no <> keep_no").select("doc", "no")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, count_col: str | None = None, exact: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, count_col: str | None = None, exact: bool = False, leaf_lines: int = LEAF_LINES) -> DataFrame:
     """``docs`` with the recurring lines taken out of their texts (lines end at a newline); all other columns as they are.
 
     Null and empty texts, and rows without a doc_id, come back unchanged. Rows that repeat a doc_id are one document: its
@@ -228,7 +246,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of mostly variable fields go too, where equal ones recur. An empty table stays empty.
     """
     doc, nos, parts = T.unused(docs, "__doc", "__nos", "__lines")
-    drops = recurring_lines(docs, id_col, text_col, leading, similarity, min_literals, exact).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("no").alias(nos))
+    drops = recurring_lines(docs, id_col, text_col, leading, similarity, min_literals, exact, leaf_lines).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("no").alias(nos))
     joined = docs.join(drops, F.col(id_col).cast("long") == F.col(doc), "left")
     cut = joined.withColumn(parts, F.when(F.col(nos).isNotNull(), F.split(F.col(text_col), "\n", -1)))
     text = F.expr(f"array_join(transform(array_except(sequence(0, size({parts}) - 1), {nos}), i -> {parts}[i]), '\n')")
