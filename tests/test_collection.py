@@ -189,6 +189,16 @@ def test_stream_of_files_out_of_order(spark, tmp_path):
     assert sorted((str(r.lsn), r.status) for r in Applied(c).rejected().collect()) == [("200", "kDimensionMismatch"), ("201", "kInvalidArgument"), ("202", "kInvalidArgument"), ("None", "kInvalidArgument")]
 
 
+def test_streams_with_new_checkpoints_count_their_batches_anew(spark, tmp_path):
+    c, source = Collection(spark, CONFIG, path=f"{tmp_path}/c"), f"{tmp_path}/in"
+    changes_file(spark, source, [(1, 1, "INSERT", [1.0, 0.0])])
+    into_collection(read_changes(spark, source), c, f"{tmp_path}/ck1").awaitTermination()
+    changes_file(spark, source, [(2, 2, "INSERT", [2.0, 0.0])])
+    into_collection(read_changes(spark, source), c, f"{tmp_path}/ck2").awaitTermination()  # reads both files again, as its batch 0
+    assert found(c) == [1, 2] and c.next_lsn == 3
+    assert len({n.rsplit("-", 1)[0] for n in Files(spark).names(f"{c.path}/applied")}) == 2
+
+
 def test_stream_batches_that_run_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "COMPACT_AFTER", 2)
     c = Collection(spark, CONFIG, path=f"{tmp_path}/c")

@@ -20,36 +20,32 @@ def read_changes(spark: SparkSession, path: str, schema: str = CHANGES, max_file
 
 
 class Applied:
-    """What a stream did to a collection, kept beside it, so that files may come in any order and batches may run again.
+    """What streams did to a collection, kept beside it, so that files may come in any order and batches may run again.
 
-    <dir>/applied/b=<batch>/changes    the batch's changes that counted, with their source LSNs
-    <dir>/applied/b=<batch>/rejected   its rows that can't be applied, with their status
-    <dir>/applied/b=<batch>/done       the changes are in the collection's log
-    <dir>/applied/base=<batch>         (id, lsn) of all batches up to this one; their own changes are then dropped
+    <dir>/applied/b=<stream>-<batch>/changes    the batch's changes that counted, with their source LSNs
+    <dir>/applied/b=<stream>-<batch>/rejected   its rows that can't be applied, with their status
+    <dir>/applied/b=<stream>-<batch>/done       the changes are in the collection's log
+    <dir>/applied/base=<n>                      (id, lsn) of many batches, whose own changes are then dropped
+
+    ``stream`` is a streaming query's id, which its checkpoint keeps, so a query with a new checkpoint counts its batches anew.
     """
 
     def __init__(self, collection: Collection) -> None:
         self.collection, self.files, self.spark = collection, collection.files, collection.spark
         self.folder = f"{collection.path}/applied"
 
-    def _numbers(self, kind: str, mark: str) -> list[int]:
-        names = [n for n in self.files.names(self.folder) if n.startswith(f"{kind}=")]
-        return [int(n.split("=")[1]) for n in names if self.files.exists(f"{self.folder}/{n}/{mark}")]
-
-    def _batch(self, number: int) -> str:
-        return f"{self.folder}/b={number:010d}"
+    def _names(self, kind: str, mark: str) -> list[str]:
+        return [n for n in self.files.names(self.folder) if n.startswith(f"{kind}=") and self.files.exists(f"{self.folder}/{n}/{mark}")]
 
     def marks(self) -> DataFrame | None:
         """(id, lsn): the largest source LSN applied to each id; None before the first batch."""
-        bases = self._numbers("base", "_SUCCESS")
-        after = max(bases, default=-1)
-        paths = [f"{self._batch(n)}/changes" for n in self._numbers("b", "done") if n > after]
-        paths += [f"{self.folder}/base={n:010d}" for n in bases[-1:]]
+        paths = [f"{self.folder}/{n}/changes" for n in self._names("b", "done")] + [f"{self.folder}/{n}" for n in self._names("base", "_SUCCESS")]
         return self.spark.read.schema("id long, lsn long").parquet(*paths).groupBy("id").agg(F.max("lsn").alias("lsn")) if paths else None
 
-    def apply(self, batch: DataFrame, number: int) -> None:
+    def apply(self, batch: DataFrame, number: int, stream: str | None = None) -> None:
         """One batch: of each id the valid change with the largest LSN, if that is larger than any applied to the id before."""
-        here = self._batch(number)
+        stream = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "0"
+        here = f"{self.folder}/b={stream}-{number:010d}"
         if self.files.exists(f"{here}/done"):
             return
         if not self.files.exists(f"{here}/changes/_SUCCESS"):
@@ -57,8 +53,8 @@ class Applied:
         changes = self.spark.read.schema(CHANGES).parquet(f"{here}/changes")
         self.collection.apply_batch(changes, "lsn")
         self.files.write(f"{here}/done", b"")
-        if len(self._numbers("b", "done")) > COMPACT_AFTER:
-            self.compact(number)
+        if len(self._names("b", "done")) > COMPACT_AFTER:
+            self.compact()
 
     def _decide(self, batch: DataFrame, here: str) -> None:
         rows = R.batch_status(batch.select("lsn", F.col("id").cast("long").alias("id"), "op", "embedding"), self.collection.dimension)
@@ -77,17 +73,18 @@ class Applied:
         finally:
             rows.unpersist()
 
-    def compact(self, number: int) -> None:
-        """One table of marks for all batches up to ``number``."""
-        done, bases = [n for n in self._numbers("b", "done") if n <= number], self._numbers("base", "_SUCCESS")
+    def compact(self) -> None:
+        """One table of marks in place of all others; each stream's last batch is kept, as it may be asked for again."""
+        done, bases = self._names("b", "done"), self._names("base", "_SUCCESS")
+        number = max((int(n.split("=")[1]) for n in bases), default=0) + 1
         self.marks().write.mode("overwrite").parquet(f"{self.folder}/base={number:010d}")
+        last = {n.rsplit("-", 1)[0]: n for n in sorted(done)}
         for n in done:
-            if n < number:  # the last batch may be asked for again
-                self.files.delete(f"{self._batch(n)}/changes")
-                self.files.delete(f"{self._batch(n)}/done")
+            if n not in last.values():
+                self.files.delete(f"{self.folder}/{n}/done")
+                self.files.delete(f"{self.folder}/{n}/changes")
         for n in bases:
-            if n < number:
-                self.files.delete(f"{self.folder}/base={n:010d}")
+            self.files.delete(f"{self.folder}/{n}")
 
     def rejected(self) -> DataFrame:
         """(lsn, id, op, embedding, status, message): all rows that could not be applied."""
