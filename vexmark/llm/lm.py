@@ -11,7 +11,7 @@ together with the class a row of 64 weights for its words. A softmax thus costs
 weights start at the corpus counts. Then, in ``rounds`` rounds of one part of the documents' blocks each, every task takes
 its blocks through minibatches of gradient steps (AdaGrad per row) from the shared weights, and sends the rows it moved with
 how often each was used; rows are averaged over tasks by that use in a shuffle. The softmax's size is fixed, 11 MB, and so is
-what is broadcast, 36 MB at most.
+what is broadcast, with ten bytes a bucket 53 MB at most.
 
 *Sparse weights.* Every pair of a context (the two words before, as they are) and a bucket that occurs in two rows or more is a
 feature with a weight of its own; there are as many as the corpus has, and 16 million slots for the contexts of each group
