@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vexmark.errors import Code, EngineError
 from vexmark.files import Files
@@ -156,6 +157,16 @@ def test_meta_json():
             CollectionMeta.from_json(bad)
 
 
+def test_numbers_of_uneven_positions(spark):
+    far = [-(10**17), *range(500), 10**9, *range(10**12, 10**12 + 300), 2**62, 2**62 + 1]
+    got = R.numbered(spark.createDataFrame([(p,) for p in reversed(far)], "pos long").repartition(3), 7).collect()
+    assert sorted((r.pos, r.lsn) for r in got) == [(p, 7 + k) for k, p in enumerate(sorted(far))]
+    assert R.numbered(spark.createDataFrame([], "pos long"), 7).count() == 0
+    edges = list(range(0, 990, 11))
+    ranges = spark.range(-5, 1100).select("id", R._range_of(F.col("id"), edges).alias("b")).collect()
+    assert all(r.b == sum(c <= r.id for c in edges) for r in ranges)
+
+
 def test_replay_over_snapshot(spark):
     snapshot = spark.createDataFrame([(1, [1.0], False), (2, [2.0], False), (3, None, True)], "id long, embedding array<float>, deleted boolean")
     log = spark.createDataFrame([(1, "INSERT", 9, [9.0]), (5, "DELETE", 1, None), (6, "INSERT", 2, [5.0]), (7, "COMMIT_TXN", 0, None), (8, "DELETE", 50, None), (9, "DELETE", 2, None), (10, "INSERT", 2, [6.0])], "lsn long, op string, id long, embedding array<float>")

@@ -7,6 +7,8 @@ moves what changed and not what is stored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,22 +83,37 @@ def latest_metadata(changes: DataFrame, seq: str | Column = "seq") -> DataFrame:
     return changes.groupBy("id").agg(F.max_by(F.struct("metadata"), seq).alias("m")).select("id", "m.metadata").where("metadata IS NOT NULL")
 
 
+def _range_of(pos: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``pos``: among every so many of them first, then among those between."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+
+    def at_most(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c <= pos))
+
+    def literal(values: list[int]) -> Column:
+        return F.array(*(F.lit(v).cast("long") for v in values))
+
+    head = at_most(literal(cuts[::step]))
+    parts = F.array(*(literal(cuts[i : i + step]) for i in range(0, len(cuts), step)))
+    return F.when(head == 0, 0).otherwise((head - 1) * step + at_most(F.get(parts, head - 1)))
+
+
 def numbered(rows: DataFrame, first: int) -> DataFrame:
     """``rows`` with ``lsn`` counting from ``first`` in the order of ``pos``, without gaps.
 
-    Ranks within ranges of ``pos`` are shifted by the sizes of the ranges before; one number per range goes to the driver,
-    and no partition ever holds all rows. ``rows`` must give the same result each time it is computed.
+    Ranks within ranges of ``pos``, cut at its quantiles so that they hold about as many rows each wherever those lie, are
+    shifted by the sizes of the ranges before; one number per range goes to the driver, and no partition ever holds all
+    rows. ``rows`` must give the same result each time it is computed, and ``pos`` is not null and has no ties.
     """
     width = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    low, high, n = rows.agg(F.min("pos"), F.max("pos"), F.count("*")).first()
-    if not n:
-        return rows.withColumn("lsn", F.lit(first).cast("long"))
-    step = max(1, -(-(high - low + 1) // width))
-    bucketed = rows.withColumn("__b", F.floor((F.col("pos") - low) / step).cast("int"))
-    sizes = {r["__b"]: r["n"] for r in bucketed.groupBy("__b").agg(F.count("*").alias("n")).collect()}
+    cuts = sorted({int(c) for c in rows.approxQuantile("pos", [i / width for i in range(1, width)], 1 / (4 * width))}) if width > 1 else []
+    ranged = rows.withColumn("__b", _range_of(F.col("pos"), cuts))
+    sizes = {r["__b"]: r["n"] for r in ranged.groupBy("__b").agg(F.count("*").alias("n")).collect()}
     start, at = [], first
-    for b in range(width + 1):
+    for b in range(len(cuts) + 1):
         start.append(at)
         at += sizes.get(b, 0)
     base = F.element_at(F.array(*(F.lit(s).cast("long") for s in start)), F.col("__b") + 1)
-    return bucketed.withColumn("lsn", base + F.row_number().over(Window.partitionBy("__b").orderBy("pos")) - 1).drop("__b")
+    return ranged.withColumn("lsn", base + F.row_number().over(Window.partitionBy("__b").orderBy("pos")) - 1).drop("__b")

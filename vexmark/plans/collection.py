@@ -166,7 +166,7 @@ class Collection:
         valid = rows.where("status = 'kOk'")
         n = valid.count()
         if n:
-            self._append(R.numbered(_dense(valid) if pos_col is None else valid, self.next_lsn).select("lsn", "id", F.lit("INSERT").alias("op"), "embedding"), n)
+            self._append(R.numbered(valid, self.next_lsn).select("lsn", "id", F.lit("INSERT").alias("op"), "embedding"), n)
         return rows.select("pos", "id", "status", "message")
 
     def remove(self, id: int) -> Status:
@@ -185,8 +185,7 @@ class Collection:
         rows = kept(ids.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct())
         n = rows.count()
         if n:
-            dense = _dense(rows.withColumn("pos", F.monotonically_increasing_id()))
-            self._append(R.numbered(dense, self.next_lsn).select("lsn", "id", F.lit("DELETE").alias("op"), F.lit(None).cast("array<float>").alias("embedding")), n)
+            self._append(R.numbered(rows.withColumn("pos", F.col("id")), self.next_lsn).select("lsn", "id", F.lit("DELETE").alias("op"), F.lit(None).cast("array<float>").alias("embedding")), n)
             self._change(rows.select(F.lit(0).cast("long").alias("seq"), "id", F.lit(None).cast("string").alias("metadata")))
 
     def apply_batch(self, changes: DataFrame, pos_col: str) -> int:
@@ -346,15 +345,3 @@ class Collection:
 
     def __exit__(self, *_: object) -> None:
         self.close()
-
-
-def _dense(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``pos``, as ``monotonically_increasing_id`` gives it, closed up: its partitions' gaps would make empty ranges."""
-    part = F.shiftright("pos", 33)
-    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg((F.max(F.col("pos").bitwiseAND((1 << 33) - 1)) + 1).alias("n")).collect()}
-    starts, at = {}, 0
-    for p in sorted(sizes):
-        starts[p] = at
-        at += sizes[p]
-    base = F.create_map(*(F.lit(x).cast("long") for pair in starts.items() for x in pair)) if starts else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    return rows.withColumn("pos", base[part.cast("long")] + F.col("pos").bitwiseAND((1 << 33) - 1))
