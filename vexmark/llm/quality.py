@@ -258,9 +258,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def classify(docs: DataFrame, labels: DataFrame, bad_threshold: float = BAD_THRESHOLD, toxic_threshold: float = TOXIC_THRESHOLD, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_bad, p_toxic, keep) of every row, by a model fitted on the labelled ones.
 
-    Rows that repeat are scored each; null ids come back null. Labels of ids that ``docs`` lacks are ignored, though
-    they count towards ``max_labelled``, and of conflicting labels the worse counts. Without any labels of a kind nothing is rejected for it. An empty table gives an
-    empty result.
+    Rows that repeat are scored each; null ids come back null. Labels of ids that ``docs`` lacks are ignored, though they count
+    towards ``max_labelled``, and of conflicting labels the worse counts. Without any labels of a kind nothing is rejected for
+    it. An empty table gives an empty result.
     """
     model = train(docs, labels, max_labelled, id_col, text_col)
     return scores(docs, model, id_col, text_col).withColumn("keep", (F.col("p_bad") < bad_threshold) & (F.col("p_toxic") < toxic_threshold))
