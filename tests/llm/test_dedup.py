@@ -8,6 +8,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vexmark.llm import decontam, fingerprints, graph, line_dedup, queries, simhash
 from vexmark.llm import textcore as T
@@ -122,6 +123,34 @@ def test_large_leaves_are_divided_by_further_tokens(spark):
     assert seen[0] > seen[2] and seen[1] > seen[3]
 
 
+def test_a_leaf_of_more_than_a_million_lines_is_whole(spark):
+    """Two lines of one template that differ in the first tokens after the leading ones, in a leaf of 1.25 million others."""
+    tokens = ", ".join(f"translate(xxhash64(id, {k}), '0123456789', 'abcdefghij')" for k in range(4))
+    rows = spark.range(1_250_000).selectExpr("id div 5000 AS doc_id", f"concat_ws(' ', 'start of line', {tokens}) AS line")
+    filler = rows.groupBy("doc_id").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
+    docs = {1000: "start of line one b c d", 1001: "start of line two b c d", 1002: "start of line one b e d", 1003: "start of line six b c d"}
+    df = filler.union(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).repartition(8)
+    got = line_dedup.drop_recurring_lines(df, count_col="lost").where("lost > 0 OR doc_id >= 1000").collect()
+    assert {r.doc_id: r.text for r in got} == brute_lines(docs) and [r.doc_id for r in got if r.lost] != []
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_leaves_of_which_templates_are_held_are_as_others(exact):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(150):
+        lines = [" ".join(["start of line"[: rng.integers(9, 14)], *rng.choice(["red", "blue", "green", "7"], rng.choice([0, 1, 5, 9]))]) for _ in range(12)]
+        texts.append("\n".join(lines))
+    batch = pa.record_batch([pa.array(rng.integers(0, 90, 150)), pa.array(texts)], ["doc_id", "text"])
+    found = pa.Table.from_batches(line_dedup._distinct(3, 3, exact)(batch.slice(i, 10) for i in range(0, 150, 10)))
+    found = found.sort_by([(c, "ascending") for c in ("leaf", "doc", "no", "line")]).combine_chunks()
+    seen = []
+    for most, size in ((1 << 30, 5000), (1 << 30, 7), (0, 7), (0, 100), (900, 40), (9000, 13), (4000, 5000)):
+        out = line_dedup._recurring(3, 0.7, most)(found.to_batches(max_chunksize=size))
+        seen.append(sorted(x for b in out for x in zip(*b.to_pydict().values(), strict=True)))
+    assert len(seen[0]) > 50 and all(x == seen[0] for x in seen)
+
+
 @pytest.mark.parametrize("similarity", [0.3, 0.7, 1.0])
 def test_a_large_leaf_grows_as_a_small_one(monkeypatch, similarity):
     rng = np.random.default_rng(8)

@@ -7,10 +7,12 @@ agrees with it in most of the positions after the leading ones, if at least ``si
 positions that don't become wildcards; otherwise it starts a template. Ties go to the older template. Tokens are compared
 by 16-bit codes there, and equal lines by 64-bit hashes.
 
-A leaf with more than ``leaf_lines`` distinct lines is divided by its lines' next two tokens, and the parts again where need be.
+A leaf is grown whole, however many lines it has. Only a caller that gives ``leaf_lines`` has larger ones divided by their
+lines' next two tokens, and the parts again where need be; templates then don't generalise over those.
 
 *Distribution.* Leaves are independent, so lines are shuffled by leaf and each partition grows its leaves one after the
-other from a sorted stream. Each Arrow batch sends an equal line once, so a line that a billion documents share costs a row
+other from a sorted stream. Of a leaf of more than HELD bytes the templates are held and each line's hash and template, but
+not the lines. Each Arrow batch sends an equal line once, so a line that a billion documents share costs a row
 a batch and no task sees all its occurrences; those are found by a join on the line's hash, which AQE can split.
 
 *Decision.* A template is recurring if lines of at least two documents (``doc_id``) match it. Its first occurrence, in the
@@ -22,6 +24,7 @@ numbers (of digits and marks, without a letter or a multi-byte character), are n
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from . import textcore as T
 from .graph import checkpointed
 
 LEADING, SIMILARITY, MIN_LITERALS = 3, 0.7, 3
-SMALL_LEAF, LEAF_LINES, DEEPER, DEEPEST = 256, 1 << 20, 2, 33
+SMALL_LEAF, HELD, DEEPER, DEEPEST = 256, 1 << 24, 2, 33
 _WILD, _EXACT = T.U64(0x5851F42D4C957F2D), T.U64(0x2545F4914F6CDD1D)
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _DISTINCT = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("doc", pa.int64()), ("no", pa.int32()), ("last_doc", pa.int64()), ("codes", pa.binary())])
@@ -118,44 +121,101 @@ def _distinct(leading: int, min_literals: int, exact: bool) -> Callable:
     return run
 
 
-def grow(codes: np.ndarray, leading: int, similarity: float) -> np.ndarray:
-    """The template (by number) that each of a leaf's lines, one row of codes each in order, ends in."""
-    n, width = codes.shape
-    rest = codes[:, leading:]
-    out = np.zeros(n, np.int64)
-    if width <= leading:
+class _Templates:
+    """The templates of one leaf of lines of ``width`` tokens, ``expected`` lines or more, which are added in order."""
+
+    def __init__(self, width: int, leading: int, similarity: float, expected: int) -> None:
+        self.leading, self.span, self.made = leading, max(0, width - leading), 0
+        self.enough = similarity * self.span
+        self.least = int(np.ceil(self.enough - 1e-9))
+        self.text, self.wild = np.zeros((expected, self.span), np.uint16), np.zeros((expected, self.span), bool)
+        # a template that agrees in ``least`` places agrees in one of any span - least + 1, so the places whose codes are rarest are looked up
+        self.index: list[dict[int, array]] | None = [{} for _ in range(self.span)] if expected > SMALL_LEAF and self.least > 0 else None
+
+    def _alike(self, codes: np.ndarray) -> np.ndarray:
+        """The templates, in order, that may agree with a line's codes in enough places."""
+        lists = sorted((place.get(c, ()) for place, c in zip(self.index, codes.tolist(), strict=True)), key=len)[: self.span - self.least + 1]
+        some = [np.frombuffer(x, np.uint32) for x in lists if len(x)]
+        return np.unique(np.concatenate(some)) if some else np.zeros(0, np.uint32)
+
+    def add(self, codes: np.ndarray) -> np.ndarray:
+        """The template (by number) that each of some lines, one row of codes each in order, ends in."""
+        rest = codes[:, self.leading :]
+        out = np.zeros(len(codes), np.int64)
+        if not self.span:
+            self.made = max(self.made, min(1, len(codes)))
+            return out
+        for k in range(len(codes)):
+            made = self.made
+            if made:
+                if self.index is None:
+                    at = None
+                    same = (self.text[:made] == rest[k]) & ~self.wild[:made]
+                else:
+                    at = self._alike(rest[k])
+                    same = (self.text[at] == rest[k]) & ~self.wild[at]
+                agree = same.sum(axis=1)
+                best = int(agree.argmax()) if len(agree) else 0
+                if len(agree) and agree[best] >= self.enough:
+                    t = best if at is None else int(at[best])
+                    self.wild[t] |= ~same[best]
+                    out[k] = t
+                    continue
+            if made == len(self.text):
+                for held in (self.text, self.wild):
+                    held.resize((made + made // 4 + 1, self.span), refcheck=False)
+            self.text[made] = rest[k]
+            if self.index is not None:
+                for place, c in zip(self.index, rest[k].tolist(), strict=True):
+                    place.setdefault(c, array("I")).append(made)
+            out[k] = made
+            self.made += 1
         return out
-    text, wild, made = np.empty_like(rest), np.zeros(rest.shape, bool), 0
-    span = width - leading
-    least = int(np.ceil(similarity * span - 1e-9))
-    # a template that agrees in ``least`` places agrees in one of any span - least + 1, so the places whose codes are rarest are looked up
-    index: list[dict[int, list[int]]] | None = [{} for _ in range(span)] if n > SMALL_LEAF and least > 0 else None
-    for k in range(n):
-        if made:
-            if index is None:
-                at = None
-                same = (text[:made] == rest[k]) & ~wild[:made]
-            else:
-                lists = sorted((place.get(c, ()) for place, c in zip(index, rest[k].tolist(), strict=True)), key=len)[: span - least + 1]
-                at = np.unique(np.concatenate([np.array(x, np.int64) for x in lists]))
-                same = (text[at] == rest[k]) & ~wild[at]
-            agree = same.sum(axis=1)
-            best = int(agree.argmax()) if len(agree) else 0
-            if len(agree) and agree[best] >= similarity * span:
-                t = best if at is None else int(at[best])
-                wild[t] |= ~same[best]
-                out[k] = t
-                continue
-        text[made] = rest[k]
-        if index is not None:
-            for place, c in zip(index, rest[k].tolist(), strict=True):
-                place.setdefault(c, []).append(made)
-        out[k] = made
-        made += 1
-    return out
 
 
-def _recurring(leading: int, similarity: float) -> Callable:
+def grow(codes: np.ndarray, leading: int, similarity: float) -> np.ndarray:
+    """The template (by number) that each of a leaf's lines, one row of codes each in order, ends in."""
+    return _Templates(codes.shape[1], leading, similarity, len(codes)).add(codes)
+
+
+class _LargeLeaf:
+    """A leaf whose rows, sorted as in ``_recurring``, come a part at a time: its templates, and its lines by hash with their templates."""
+
+    def __init__(self, leading: int, similarity: float) -> None:
+        self.leading, self.similarity, self.templates = leading, similarity, None
+        self.line, self.template = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.doc, self.no, self.shared = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def add(self, t: pa.Table) -> None:
+        line, doc, no, last = (t.column(c).to_numpy() for c in ("line", "doc", "no", "last_doc"))
+        distinct, first = np.unique(line, return_index=True)
+        place = np.searchsorted(self.line, distinct)
+        new = np.ones(len(distinct), bool)
+        new[place < len(self.line)] = self.line[place[place < len(self.line)]] != distinct[place < len(self.line)]
+        at = np.sort(first[new])
+        if len(at):
+            raw, ends = _binary(t.column("codes"))
+            width = int(ends[at[0] + 1] - ends[at[0]]) // 2
+            if self.templates is None:
+                self.templates = _Templates(width, self.leading, self.similarity, SMALL_LEAF + len(at))
+            before = self.templates.made
+            made = self.templates.add(raw[ends[0] : ends[-1]].reshape(-1, 2 * width)[at].view(np.uint16))
+            begun, head = np.unique(made, return_index=True)
+            head = at[head[begun >= before]]
+            self.doc, self.no, self.shared = np.append(self.doc, doc[head]), np.append(self.no, no[head]), np.append(self.shared, np.zeros(len(head), bool))
+            self.template = np.insert(self.template, place[new], made[np.searchsorted(at, first[new])])
+            self.line = np.insert(self.line, place[new], distinct[new])
+        own = self.template[np.searchsorted(self.line, line)]
+        self.shared[own[(doc != self.doc[own]) | (last != self.doc[own])]] = True
+
+    def recurring(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.line), 1 << 16):
+            own = self.template[i : i + (1 << 16)]
+            hit = np.flatnonzero(self.shared[own])
+            yield T.batch(_RECURRING, line=self.line[i + hit], keep_doc=self.doc[own[hit]], keep_no=self.no[own[hit]])
+
+
+def _recurring(leading: int, similarity: float, most: int = HELD) -> Callable:
     def leaves(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         leaf, line, doc, no, last = (t.column(c).to_numpy() for c in ("leaf", "line", "doc", "no", "last_doc"))
@@ -184,22 +244,37 @@ def _recurring(leading: int, similarity: float) -> Callable:
         hit = np.flatnonzero(shared[template])
         return T.batch(_RECURRING, line=line[hit], keep_doc=doc[template[hit]], keep_no=no[template[hit]])
 
+    def ended(held: list[pa.RecordBatch], large: _LargeLeaf | None) -> Iterator[pa.RecordBatch]:
+        if large is None:
+            yield leaves(pa.Table.from_batches(held))
+            return
+        if held:
+            large.add(pa.Table.from_batches(held))
+        yield from large.recurring()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # rows of one leaf, ``last``
+        large, last = None, None  # ``large``: what came before them of that leaf
         for b in batches:
             if not b.num_rows:
                 continue
             leaf = b.column(0).to_numpy()
+            if last is not None and (leaf[0] != last or (large is not None and leaf[-1] != last)):
+                goes_on = int((leaf == last).sum())
+                yield from ended([*held, b.slice(0, goes_on)], large)
+                held, large, b, leaf = [], None, b.slice(goes_on), leaf[goes_on:]
             cut = int(np.flatnonzero(np.diff(leaf))[-1]) + 1 if (leaf != leaf[-1]).any() else 0
-            if not cut and held and held[-1].column(0)[-1].as_py() != leaf[0]:
-                yield leaves(pa.Table.from_batches(held))
-                held = []
             if cut:
                 yield leaves(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = []
             held.append(b.slice(cut))
-        if held:
-            yield leaves(pa.Table.from_batches(held))
+            last = leaf[-1]
+            if sum(x.nbytes for x in held) > most:
+                large = large or _LargeLeaf(leading, similarity)
+                large.add(pa.Table.from_batches(held))
+                held = []
+        if last is not None:
+            yield from ended(held, large)
 
     return run
 
@@ -228,22 +303,25 @@ def _divided(found: DataFrame, leading: int, leaf_lines: int) -> DataFrame:
     return found
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, exact: bool = False, leaf_lines: int = LEAF_LINES) -> DataFrame:
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, exact: bool = False, leaf_lines: int | None = None) -> DataFrame:
     """(doc, no): every line to drop, by doc_id and 0-based number; see ``drop_recurring_lines``."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    distinct = checkpointed(rows.mapInArrow(_distinct(leading, min_literals, exact), ddl(_DISTINCT)))
-    recurring = _divided(distinct, leading, leaf_lines).repartition("leaf").sortWithinPartitions("leaf", "doc", "no", "line").mapInArrow(_recurring(leading, similarity), ddl(_RECURRING))
+    distinct = rows.mapInArrow(_distinct(leading, min_literals, exact), ddl(_DISTINCT))
+    if leaf_lines is not None:
+        distinct = _divided(checkpointed(distinct), leading, leaf_lines)
+    recurring = distinct.repartition("leaf").sortWithinPartitions("leaf", "doc", "no", "line").mapInArrow(_recurring(leading, similarity), ddl(_RECURRING))
     places = rows.mapInArrow(_places(leading, min_literals, exact), ddl(_PLACES))
     return places.join(recurring, "line").where("doc <> keep_doc OR no <> keep_no").select("doc", "no")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, count_col: str | None = None, exact: bool = False, leaf_lines: int = LEAF_LINES) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, similarity: float = SIMILARITY, min_literals: int = MIN_LITERALS, count_col: str | None = None, exact: bool = False, leaf_lines: int | None = None) -> DataFrame:
     """``docs`` with the recurring lines taken out of their texts (lines end at a newline); all other columns as they are.
 
     Null and empty texts, and rows without a doc_id, come back unchanged. Rows that repeat a doc_id are one document: its
     lines count once and are dropped from each of its rows. A text that loses all its lines becomes empty. ``count_col``
     names a column for the number of lines dropped, which must not be one of ``docs``. With ``exact`` short lines and lines
-    of mostly variable fields go too, where equal ones recur. An empty table stays empty.
+    of mostly variable fields go too, where equal ones recur. Leaves are divided beyond ``leaf_lines`` distinct lines (by an
+    estimate of their number) only if that is given. An empty table stays empty.
     """
     doc, nos, parts = T.unused(docs, "__doc", "__nos", "__lines")
     drops = recurring_lines(docs, id_col, text_col, leading, similarity, min_literals, exact, leaf_lines).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("no").alias(nos))
