@@ -272,6 +272,32 @@ def test_wide_blocks_give_the_same_groups(spark):
     assert sorted(simhash.near_duplicate_groups(df, wide=0).collect()) == sorted(simhash.near_duplicate_groups(df).collect())
 
 
+def furthest_pairs(n=400):
+    """Fingerprints, two by two at the largest distance, of which some share a block of 16 bits and none of 24, and some the reverse."""
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 2, (n, 1, 256), dtype=np.uint8).repeat(2, axis=1)
+    for row in bits:
+        row[1, rng.choice(256, simhash.MAX_DISTANCE, replace=False)] ^= 1
+    fp = np.packbits(bits.reshape(2 * n, 256), axis=1).view(np.int64)
+    met = [(k[::2] == k[1::2]).any(axis=1) for k in (simhash.block_keys(fp, width) for width in (16, 24))]
+    assert (met[0] & ~met[1]).sum() > 9 and (met[1] & ~met[0]).sum() > 9
+    return fp, met[0]
+
+
+def as_if_many(monkeypatch, spark, fp):
+    """``simhash`` with these fingerprints for the documents of those numbers, and tables that count as a billion rows."""
+    table = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(fp)], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: table)
+    monkeypatch.setattr(type(table), "count", lambda _: 10**9)
+
+
+def test_the_same_pairs_meet_however_many_fingerprints_there_are(spark, monkeypatch):
+    fp, met = furthest_pairs()
+    as_if_many(monkeypatch, spark, fp)
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(frame(spark, ["x"] * len(fp))).collect()}
+    assert got == {i: i - (i % 2 and int(met[i // 2])) for i in range(len(fp))}
+
+
 @pytest.mark.parametrize("piece", [7, 40])
 def test_hot_buckets_in_pieces_give_the_same_groups(spark, piece):
     df = frame(spark, near_copies(random.Random(8), 40, 12)[0]).repartition(3)
