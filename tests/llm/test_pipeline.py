@@ -5,7 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pyarrow as pa
-from test_dedup import brute_lines, brute_tiles, clashing, odd
+from test_dedup import as_if_many, brute_lines, brute_tiles, clashing, frame, furthest_pairs, odd
 
 import corpus_pipeline
 from vexmark.llm import decontam, quality, simhash
@@ -41,6 +41,15 @@ def test_line_stage_drops_what_is_left_of_copies(spark, sf):
     assert got == {1: "\n".join(own), 3: "Notice.\nshort text", 5: "\n".join(texts[5][4:]), 6: None, 7: "", None: own[0]}
 
 
+def test_near_copies_go_however_many_documents_there_are(spark, sf, monkeypatch):
+    fp, met = furthest_pairs()
+    docs = frame(spark, [f"text {i}" for i in range(len(fp))])
+    as_if_many(monkeypatch, spark, fp)
+    left = corpus_pipeline.near_dedup(spark, docs, sf).collect()
+    assert sorted(r.doc_id for r in left) == [i for i in range(len(fp)) if not (i % 2 and met[i // 2])]
+    assert all(r.text == f"text {r.doc_id}" for r in left)
+
+
 def test_run_packs_what_the_stages_keep(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
