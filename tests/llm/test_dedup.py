@@ -272,6 +272,49 @@ def test_wide_blocks_give_the_same_groups(spark):
     assert sorted(simhash.near_duplicate_groups(df, wide=0).collect()) == sorted(simhash.near_duplicate_groups(df).collect())
 
 
+def edited_pairs(rng, n=40):
+    """Texts of short words and a few long ones, two by two at about the largest distance, and for each the number of its group's first."""
+    texts, signs = [], simhash._signs()
+    while len(texts) < 2 * n:
+        t = ["".join(rng.choices("abcdefghij", k=rng.choice([2, 3, 4, 4, 4, 6]))) for _ in range(rng.randint(20, 60))]
+        u = [*t[:-1], "".join(rng.choices("abcdefghij", k=6))]
+        fp, _ = simhash.fingerprint(*T.utf8(pa.array([" ".join(t), " ".join(u)])), signs)
+        if simhash.MAX_DISTANCE - 2 <= np.bitwise_count((fp[0] ^ fp[1]).view(np.uint64)).sum() <= simhash.MAX_DISTANCE + 2:
+            texts += [" ".join(t), " ".join(u)]
+    fp, _ = simhash.fingerprint(*T.utf8(pa.array(texts)), signs)
+    far = np.bitwise_count((fp[::2] ^ fp[1::2]).view(np.uint64)).sum(axis=1)
+    keys = simhash.block_keys(fp)
+    met = (far <= simhash.MAX_DISTANCE) & (keys[::2] == keys[1::2]).any(axis=1)
+    return texts, [i - (i % 2 and int(met[i // 2])) for i in range(2 * n)]
+
+
+def test_a_text_has_one_fingerprint_whatever_is_beside_it():
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.choice([2, 3, 4, 6, 8]))) for _ in range(rng.randint(1, 300))) for _ in range(300)]
+    signs = simhash._signs()
+    whole, _ = simhash.fingerprint(*T.utf8(pa.array(texts)), signs)
+    for m in (1, 2, 7, 100):
+        parts = [simhash.fingerprint(*T.utf8(pa.array(texts[i : i + m])), signs)[0] for i in range(0, len(texts), m)]
+        assert (np.concatenate(parts) == whole).all()
+
+
+def test_a_short_word_decides_between_millions_of_others():
+    texts = ["aaaaa", "bbbbb", "ab", "aaaaa bbbbb " * 1_700_000 + "ab"]  # weights of 17 million, and one of 1
+    fp, _ = simhash.fingerprint(*T.utf8(pa.array(texts)), simhash._signs())
+    differ = fp[0] ^ fp[1]
+    assert differ.all() and (fp[3] == (fp[0] & ~differ) | (fp[2] & differ)).all()
+
+
+@pytest.mark.parametrize("wide", [0, 10**12])
+def test_wide_blocks_are_the_same_for_any_number_of_fingerprints(spark, monkeypatch, wide):
+    fp, _ = furthest_pairs()
+    keys = simhash.block_keys(fp, 24)
+    met = (keys[::2] == keys[1::2]).any(axis=1)
+    as_if_many(monkeypatch, spark, fp)
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(frame(spark, ["x"] * len(fp)), wide=wide).collect()}
+    assert got == {i: i - (i % 2 and int(met[i // 2])) for i in range(len(fp))}
+
+
 def furthest_pairs(n=400):
     """Fingerprints, two by two at the largest distance, of which some share a block of 16 bits and none of 24, and some the reverse."""
     rng = np.random.default_rng(9)

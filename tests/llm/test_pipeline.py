@@ -5,7 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pyarrow as pa
-from test_dedup import as_if_many, brute_lines, brute_tiles, clashing, frame, furthest_pairs, odd
+from test_dedup import as_if_many, brute_lines, brute_tiles, clashing, edited_pairs, frame, furthest_pairs, odd
 
 import corpus_pipeline
 from vexmark.llm import decontam, quality, simhash
@@ -50,6 +50,19 @@ def test_near_copies_go_however_many_documents_there_are(spark, sf, monkeypatch)
     assert all(r.text == f"text {r.doc_id}" for r in left)
 
 
+def test_near_copies_go_however_many_documents_are_in_a_batch(spark, sf):
+    texts, group = edited_pairs(random.Random(2))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for rows in ("1", "50", before):
+            spark.conf.set(key, rows)
+            left = corpus_pipeline.near_dedup(spark, frame(spark, texts), sf).collect()
+            assert sorted(r.doc_id for r in left) == sorted(set(group))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_run_packs_what_the_stages_keep(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
