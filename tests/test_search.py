@@ -169,3 +169,39 @@ def test_hashed_planes_find_near_vectors(spark):
     got = ann.lsh_search(rows, rows.where("id < 300").selectExpr("id AS qid", "embedding AS qv"), 2).collect()
     twin = {r.qid for r in got if r.id == r.qid + 300}
     assert len(twin) > 285 and all(r.score <= 1e-6 for r in got)
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_declarative_batch_joins_parts_and_not_pairs(spark, metric):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 6)).astype(np.float32)
+    x[200:300] = x[:100]  # ties
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, [1.0]), (901, None)], VECTORS)
+    q = v.where("id % 3 = 0").selectExpr("id AS qid", "embedding AS qv")
+    hits = S.knn_batch_sql(v, q, 4, metric, part_rows=60)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    got = {(r.qid, r["rank"]): (r.id, r.score) for r in hits.collect()}
+    d = S.distances(metric, x.astype(float), x.astype(float))
+    for i in range(0, 500, 3):
+        want = sorted(range(500), key=lambda j: (round(d[i, j], 9), j))[:4]
+        assert [got[i, r + 1][0] for r in range(4)] == want
+    assert got[900, 1] == (900, 0.0)
+    assert len(got) == 167 * 4 + 1
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+@pytest.mark.parametrize("scale", [1, 1e-12, 1e12, 1e25])
+def test_few_pairs_are_computed_one_by_one(monkeypatch, metric, scale):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(6000, 8)) * scale).astype(np.float32)
+    q, ids, pairs, exact = x[:40], rng.permutation(6000), [], S.pair_distances
+    monkeypatch.setattr(S, "pair_distances", lambda m, a, b: pairs.append(len(a)) or exact(m, a, b))
+    best = S.Best(40, 5)
+    for i in range(0, 6000, 2500):
+        best.look(metric, q, np.arange(40), x[i : i + 2500], ids[i : i + 2500])
+    assert scale == 1e-12 and metric is not Metric.L2 or sum(pairs) < 0.05 * 40 * 6000  # 1 - dot is 1 for all of such small ones
+    for i in range(40):
+        d = exact(metric, np.broadcast_to(q[i].astype(float), x.shape), x.astype(float))
+        want = np.lexsort((ids, d))[:5]
+        assert (best.ids[i] == ids[want]).all() and (best.far[i] == d[want]).all()

@@ -3,8 +3,8 @@
 ``knn`` is one query vector: a projection and ``TakeOrderedAndProject``, all inside Catalyst. ``knn_batch`` takes a DataFrame of
 queries: vectors stay where they are, queries go to every task, which keeps the best k so far of each query, by a matrix
 product with each Arrow batch, and a window takes the best of all tasks'; only k rows a query and task are shuffled. With key
-columns a query looks at the vectors of its own key alone, and only those products are made. ``knn_batch_sql`` is the same as
-one declarative plan, for few queries or as a cross-check.
+columns a query looks at the vectors of its own key alone, and only those products are made. ``knn_batch_sql`` is the same by
+a join of parts, without a broadcast.
 
 Queries are broadcast while they hold at most ``BROADCAST_VALUES`` numbers; beyond that they are dealt into slices within the
 bound, each one pass over the vectors.
@@ -26,7 +26,10 @@ from ..functions import vectors as V
 from ..types import Metric
 
 BROADCAST_VALUES = 16_000_000
-_BLOCK = 4_000_000  # scores at a time
+PART_ROWS = 32_768  # rows of a part of ``knn_batch_sql``
+_BLOCK = 1 << 19  # scores at a time
+_COLUMNS, _FIRST, _PAIRS = 4096, 256, 1 << 15  # vectors at a time, at first, and pairs that are computed exactly at a time
+_LEAST = 1e-36  # room for products too small for single precision
 _HELD = 8_000_000  # best hits so far that a task keeps; with more of them each batch gives its own
 _HITS = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
@@ -65,18 +68,51 @@ def ranked(scored: DataFrame, k: int, metric: Metric) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
 
 
-def knn_batch_sql(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.COSINE, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "qv") -> DataFrame:
-    """As ``knn_batch``, by a cross join that Catalyst plans."""
-    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(query_col).alias("__qv"))
-    e = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
-    pairs = e.crossJoin(q).where(F.size("embedding") == F.size("__qv"))
-    return ranked(pairs.select("qid", "id", V.score(metric, F.col("embedding"), F.col("__qv")).alias("score")), k, metric)
+def knn_batch_sql(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.COSINE, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "qv", part_rows: int = PART_ROWS) -> DataFrame:
+    """As ``knn_batch``, by a join that Catalyst plans, with nothing broadcast.
+
+    Both sides are dealt into parts of about ``part_rows`` rows; each pair of parts is a group of its own, which gives the k best of each
+    of its queries. A group holds its two parts, whatever the size of the tables.
+    """
+    spark = vectors.sparkSession
+    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(query_col).cast("array<float>").alias("qv")).where("qid IS NOT NULL AND qv IS NOT NULL")
+    e = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding")).where(F.col("embedding").isNotNull())
+    if k <= 0:
+        return spark.createDataFrame([], "qid long, rank int, id long, score double")
+    least = math.isqrt(spark.sparkContext.defaultParallelism) + 1
+    across, down = (max(least, math.ceil(side.count() / part_rows)) for side in (q, e))
+
+    def dealt(rows: DataFrame, id_col: str, vector_col: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+        each = rows.withColumns({own: F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"), "width": F.size(vector_col)})
+        return each.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select("across", "down", "width", id_col, vector_col)
+
+    left = dealt(q, "qid", "qv", "across", across, "down", down).groupBy("across", "down", "width")
+    right = dealt(e, "id", "embedding", "down", down, "across", across).groupBy("across", "down", "width")
+    return ranked(left.cogroup(right).applyInArrow(_part(k, metric), "qid long, id long, score double"), k, metric)
+
+
+def _part(k: int, metric: Metric):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        width = key[2].as_py()
+        if not (left.num_rows and right.num_rows and width):
+            return pa.Table.from_batches([], schema=_HITS)
+        q, x = (_rows(side.column(4).combine_chunks(), width) for side in (left, right))
+        best = Best(len(q), k)
+        best.look(metric, q, np.arange(len(q)), x, right.column(3).to_numpy())
+        return pa.Table.from_batches([best.hits(left.column(3).to_numpy(), 1.0 if metric.ascending else -1.0)])
+
+    return run
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _rows(col: pa.Array, width: int) -> np.ndarray:
+    """``_matrix`` in the vectors' own precision."""
+    return (col if isinstance(col, pa.Array) else pa.concat_arrays(col.chunks)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
 def distances(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """(query, vector) of distances, small is near. L2 by differences: the expanded square would lose digits of near pairs."""
     if metric is not Metric.L2:
@@ -88,17 +124,12 @@ def distances(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k smallest, of equals the smaller ids."""
-    n = d.shape[1]
-    if k >= n:
-        return np.repeat(np.arange(len(d)), n), np.tile(np.arange(n), len(d))
-    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    row, col = np.nonzero(d <= edge)
-    order = np.lexsort((ids[col], d[row, col], row))
-    row, col = row[order], col[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < k], col[place < k]
+def pair_distances(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The distance of each row of ``q`` to the same row of ``x``, alike for alike rows."""
+    if metric is not Metric.L2:
+        return 1.0 - np.einsum("ij,ij->i", q, x)
+    d = q - x
+    return np.einsum("ij,ij->i", d, d)
 
 
 class Best:
@@ -107,14 +138,63 @@ class Best:
     def __init__(self, n: int, k: int) -> None:
         self.k, self.far, self.ids = k, np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
-    def add(self, who: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
-        """Distances of the queries ``who`` to the vectors ``ids``."""
-        row, col = smallest(d, ids, self.k)
-        n = min(self.k, d.shape[1])
-        far = np.concatenate([self.far[who], d[row, col].reshape(-1, n)], axis=1)
-        ids = np.concatenate([self.ids[who], ids[col].reshape(-1, n)], axis=1)
-        order = np.lexsort((ids, far), axis=1)[:, : self.k]
-        self.far[who], self.ids[who] = np.take_along_axis(far, order, 1), np.take_along_axis(ids, order, 1)
+    def look(self, metric: Metric, q: np.ndarray, who: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        """Search the vectors ``x``, named ``ids``, for the queries ``who``, row numbers of ``q``.
+
+        A product of matrices tells which pairs can't be among the best, with more room than it has rounding errors; the distances of
+        the others are then computed one by one in double precision, so they are the same however rows fall into batches. Columns
+        come in growing blocks, as a few of them already bound what the rest must reach.
+        """
+        l2, width = metric is Metric.L2, x.shape[1]
+        begin, size = 0, max(_FIRST, 4 * self.k)
+        while begin < len(x):
+            own, names = x[begin : begin + size].astype(np.float64), ids[begin : begin + size]
+            begin, size = begin + len(own), min(4 * size, _COLUMNS)
+            squares = np.einsum("ij,ij->i", own, own)
+            longest = np.sqrt(np.fmax.reduce(squares, initial=0.0))
+            step = max(1, _BLOCK // len(own))
+            right = {}
+            for i in range(0, len(who), step):
+                w = who[i : i + step]
+                rows = q[w].astype(np.float64)
+                norms = np.einsum("ij,ij->i", rows, rows)
+                reach = np.sqrt(norms) + longest if l2 else np.sqrt(norms) * longest
+                kind = np.float32 if max(np.fmax.reduce(norms, initial=0.0), longest**2) < 1e15 else np.float64
+                if kind not in right:
+                    right[kind] = (np.column_stack([own, squares / -2]) if l2 else own).astype(kind).T
+                reach = reach * reach if l2 else reach
+                room = 4 * (width + 8) * np.finfo(kind).eps * reach + 1e-15 * (1 + reach) * (not l2) + _LEAST  # 1 - dot is rounded too
+                near = (np.column_stack([rows, np.ones(len(rows))]) if l2 else rows).astype(kind) @ right[kind]
+                edge = self.far[w, -1]
+                floor = (norms - edge) / 2 if l2 else 1 - edge
+                with np.errstate(invalid="ignore", over="ignore"):
+                    floor = np.where(np.isfinite(floor), floor - room - 4 * np.finfo(kind).eps * np.abs(floor), -np.inf)
+                    floor[np.isnan(floor)] = -np.inf
+                    row, col = np.divmod(np.flatnonzero(near >= floor.astype(kind)[:, None]), len(own))
+                    if len(row) > 4 * self.k * len(w) and self.k < len(own):
+                        known = np.where(np.isnan(near), kind(-np.inf), near)
+                        least = np.partition(known, len(own) - self.k, axis=1)[:, len(own) - self.k].astype(np.float64)
+                        least = np.where(np.isfinite(least), least - 2 * room, -np.inf)
+                        floor = np.maximum(floor, np.where(np.isnan(least), -np.inf, least))
+                        row, col = np.divmod(np.flatnonzero(near >= floor.astype(kind)[:, None]), len(own))
+                for j in range(0, len(row), _PAIRS):
+                    r, c = row[j : j + _PAIRS], col[j : j + _PAIRS]
+                    self._add(w, r, pair_distances(metric, rows[r], own[c]), names[c])
+
+    def _add(self, who: np.ndarray, row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """Distances ``d`` of the queries ``who[row]`` to the vectors ``ids``; rows ascend."""
+        some = np.flatnonzero(d <= self.far[who[row], -1])
+        row, d, ids = row[some], d[some], ids[some]
+        if not len(row):
+            return
+        own = row[np.concatenate([[True], row[1:] != row[:-1]])]
+        at = np.concatenate([np.repeat(np.arange(len(own)), self.k), np.searchsorted(own, row)])
+        far, ids = np.concatenate([self.far[who[own]].ravel(), d]), np.concatenate([self.ids[who[own]].ravel(), ids])
+        order = np.lexsort((ids, far, at))
+        at = at[order]
+        first = np.searchsorted(at, np.arange(len(own)))
+        take = order[(first[:, None] + np.arange(self.k)).ravel()]
+        self.far[who[own]], self.ids[who[own]] = far[take].reshape(-1, self.k), ids[take].reshape(-1, self.k)
 
     def hits(self, qids: np.ndarray, sign: float) -> pa.RecordBatch:
         row, col = np.nonzero(self.far < np.inf)
@@ -140,24 +220,29 @@ def _search(shared, k: int, metric: Metric):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1), q.shape[1])
-            parts = [(everyone, np.arange(len(x)))] if members is None else [(members[v], at) for v, at in _by_key(b.column(2)).items() if v in members]
+            ids, x = b.column(0).to_numpy(), _rows(b.column(1), q.shape[1])
+            parts = [(everyone, slice(None))] if members is None else [(members[v], at) for v, at in _by_key(b.column(2)).items() if v in members]
             for who, at in parts:
-                own, step = x[at], max(1, _BLOCK // len(at))
-                for i in range(0, len(who), step):
-                    w = who[i : i + step]
-                    d = distances(metric, q[w], own)
-                    if held:
-                        best.add(w, d, ids[at])
-                    else:
-                        row, col = smallest(d, ids[at], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(qids[w[row]]), pa.array(ids[at[col]]), pa.array(sign * d[row, col])], schema=_HITS)
+                if held:
+                    best.look(metric, q, who, x[at], ids[at])
+                else:
+                    yield from apart(metric, q, qids, who, x[at], ids[at], k)
         if held:
             yield best.hits(qids, sign)
 
     return run
 
 
+def apart(metric: Metric, q: np.ndarray, qids: np.ndarray, who: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of one batch, of some queries at a time."""
+    step = max(1, 1_000_000 // k)
+    for i in range(0, len(who), step):
+        w = who[i : i + step]
+        best = Best(len(w), k)
+        best.look(metric, q[w], np.arange(len(w)), x, ids)
+        yield best.hits(qids[w], 1.0 if metric.ascending else -1.0)
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.COSINE, dimensions: int | None = None, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "qv", broadcast_values: int = BROADCAST_VALUES, key_col: str | None = None, query_key_col: str | None = None) -> DataFrame:
     """(qid, rank, id, score): each query's k best, as ``knn`` gives them. No queries give no rows.
 
@@ -178,7 +263,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = M
             part = (own if slices == 1 else own.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s)).toArrow().combine_chunks()
             if part.num_rows and width:
                 members = _by_key(part.column("key").combine_chunks()) if key_col else None
-                shared = spark.sparkContext.broadcast((part.column("qid").to_numpy(), _matrix(part.column("qv").combine_chunks(), width), members))
+                shared = spark.sparkContext.broadcast((part.column("qid").to_numpy(), _rows(part.column("qv").combine_chunks(), width), members))
                 found.append(rows.mapInArrow(_search(shared, k, metric), "qid long, id long, score double"))
     if not found:
         return spark.createDataFrame([], "qid long, rank int, id long, score double")
