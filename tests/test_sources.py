@@ -52,6 +52,20 @@ def test_fvecs_and_ivecs(spark, tmp_path):
     assert X.write_ids(rows, str(tmp_path / "ids")) == 3
 
 
+def test_texts_are_written_by_many_tasks_in_order(spark, tmp_path):
+    rows = spark.range(3000, numPartitions=5).selectExpr("(id * 7919) % 3000 AS place", "concat(place, '\nand ', repeat('x', place % 50)) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        L.write_text(rows, str(tmp_path / "many"), "place")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    L.write_text(rows.where("place < 10"), str(tmp_path / "few"), "place")
+    assert max(os.path.getsize(f) for f in glob.glob(str(tmp_path / "many/part-*"))) < 3000 * 20
+    assert len(glob.glob(str(tmp_path / "few/part-*"))) == 1
+    got = [(r.id, r.text) for r in L.read_lines(spark, str(tmp_path / "many"), 4000).orderBy("id").collect()]
+    assert got == [(i, f"{i} and {'x' * (i % 50)}") for i in range(3000)]
+
+
 @pytest.mark.parametrize("text", ["", "a", "a\n", "\n\na\n", "one\ntwo\n\nfour é\nfive", "x" * 100 + "\n" + "y\n" * 50])
 @pytest.mark.parametrize("step", [1, 7, 1000])
 def test_line_numbers(spark, tmp_path, text, step):

@@ -77,5 +77,5 @@ def lookup(hits: DataFrame, lines: DataFrame | None, id_col: str = "id") -> Data
 
 
 def write_text(rows: DataFrame, path: str, order: str, text_col: str = "text") -> None:
-    """The texts in one file, in order, newlines as spaces."""
-    rows.orderBy(order).select(F.translate(text_col, "\n", " ").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The texts in a folder of files, in order and newlines as spaces, so that ``read_lines`` numbers them alike; few rows make one file."""
+    rows.orderBy(order).select(F.translate(text_col, "\n", " ").alias("value")).write.mode("overwrite").text(path)
