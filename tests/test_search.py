@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vexmark.errors import Code, EngineError
@@ -269,3 +270,18 @@ def test_searching_some_cells_sends_a_bit_or_a_number_a_probe(many, sent, ef):
     for i in range(0, 2000, 37):
         fit = np.flatnonzero(np.isin(cell, near[i]))
         assert [j for _, j in sorted(got[i])] == sorted(fit, key=lambda j: (round(d[i, j], 9), j))[:3]
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_a_task_computes_few_distances_one_by_one(monkeypatch, metric):
+    rng = np.random.default_rng(13)
+    x, pairs, exact = rng.normal(size=(5000, 8)).astype(np.float32), [], S.pair_distances
+    monkeypatch.setattr(S, "pair_distances", lambda m, a, b: pairs.append(len(a)) or exact(m, a, b))
+    monkeypatch.setattr(S, "distances", None)  # all pairs' differences
+
+    class Shared:
+        value = (np.arange(50), x[:50], None)
+
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "embedding"])
+    (hits,) = S._search(Shared, 5, metric)(iter([rows.slice(0, 3000), rows.slice(3000)]))
+    assert hits.num_rows == 250 and sum(pairs) < 0.05 * 50 * 5000
