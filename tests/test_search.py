@@ -285,3 +285,11 @@ def test_a_task_computes_few_distances_one_by_one(monkeypatch, metric):
     rows = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "embedding"])
     (hits,) = S._search(Shared, 5, metric)(iter([rows.slice(0, 3000), rows.slice(3000)]))
     assert hits.num_rows == 250 and sum(pairs) < 0.05 * 50 * 5000
+
+
+@pytest.mark.parametrize("key", [None, "part"])
+def test_queries_are_sent_in_their_own_precision(spark, sent, key):
+    x = np.random.default_rng(14).normal(size=(2000, 16)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist(), i % 5) for i, r in enumerate(x)], "id long, embedding array<float>, part int")
+    S.knn_batch(v, v.selectExpr("id AS qid", "embedding AS qv", "part"), 3, key_col=key)
+    assert max(sent) < 2000 * (8 + 16 * 4 + 8 * bool(key)) + 5000
