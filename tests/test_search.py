@@ -293,3 +293,20 @@ def test_queries_are_sent_in_their_own_precision(spark, sent, key):
     v = spark.createDataFrame([(i, r.tolist(), i % 5) for i, r in enumerate(x)], "id long, embedding array<float>, part int")
     S.knn_batch(v, v.selectExpr("id AS qid", "embedding AS qv", "part"), 3, key_col=key)
     assert max(sent) < 2000 * (8 + 16 * 4 + 8 * bool(key)) + 5000
+
+
+def test_an_indexed_collection_searched_over_all_cells_sends_no_cells(spark, sent):
+    from vexmark.plans.collection import Collection
+    from vexmark.types import CollectionConfig
+
+    x = np.random.default_rng(15).normal(size=(1500, 6)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], VECTORS)
+    c = Collection(spark, CollectionConfig("c", 6))
+    c.insert_batch(v, "id")
+    c.create_index(60)
+    c.remove_batch(v.where("id < 50"))
+    found = c.search_batch(v.selectExpr("id AS qid", "embedding AS qv"), 3, ef=3000)
+    assert max(sent) < 1500 * (8 + 6 * 4) + 5000
+    d = S.distances(Metric.COSINE, x.astype(float), x.astype(float))
+    got = {(r.qid, r["rank"]): r.id for r in found.collect()}
+    assert all([got[i, r + 1] for r in range(3)] == sorted(range(50, 1500), key=lambda j: (d[i, j], j))[:3] for i in range(0, 1500, 31))
